@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgersift.config import DAY_US, DEFAULT, AuditConfig
 from ledgersift.functions.scalar import ratio_or
 from ledgersift.functions.temporal import micros, temporal_columns
-from ledgersift.operators.quantiles import quantiles
+from ledgersift.operators.quantiles import quantiles, table_quantiles
 from ledgersift.operators.rolling import lookback
 from ledgersift.operators.skew import attach, largest_group, previous_value
 
@@ -69,23 +69,23 @@ def attach_users(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     return attach(df, user_statistics(df, cfg), ["user_id"], largest, cfg.limits)
 
 
-def global_amounts(df: DataFrame, cfg: AuditConfig = DEFAULT) -> Column:
-    """Mean, deviation and quartiles of all amounts as one scalar subquery."""
-    moments = df.agg(F.struct(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std")))
-    return moments.scalar()
-
-
 def add_amount_global(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """log amount, global z-score and global Tukey flag."""
-    moments = global_amounts(df, cfg)
-    quartile = quantiles(df, [], "amount", [0.25, 0.75], "q", cfg.limits).scalar()
-    z = (F.col("amount") - moments["mean"]) / moments["std"]
+    """log amount, global z-score and global Tukey flag.
+
+    The four table-wide numbers are computed first and enter the plan as
+    literals, so later steps do not drag their sub-plans along.
+    """
+    moments = df.agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std")).first()
+    q1, q3 = table_quantiles(df, "amount", [0.25, 0.75], cfg.limits)
+    z = F.lit(0.0)
+    if moments["std"] and moments["std"] > 0:
+        z = (F.col("amount") - moments["mean"]) / moments["std"]
     return df.withColumns(
         {
             "amount_log": F.log1p("amount"),
-            "amount_zscore_global": F.when(moments["std"] > 0, z).otherwise(F.lit(0.0)),
+            "amount_zscore_global": z,
             "amount_iqr_flag_global": outside_fence(
-                F.col("amount"), quartile[0], quartile[1], cfg.iqr_factor
+                F.col("amount"), F.lit(q1), F.lit(q3), cfg.iqr_factor
             ),
         }
     )

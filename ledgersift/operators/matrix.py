@@ -19,30 +19,41 @@ def category_codes(df: DataFrame, column: str, cfg: AuditConfig = DEFAULT) -> Da
 
 
 def encode(
-    df: DataFrame, columns: list[str] = CATEGORICAL_COLUMNS, cfg: AuditConfig = DEFAULT
+    df: DataFrame,
+    columns: list[str] = CATEGORICAL_COLUMNS,
+    cfg: AuditConfig = DEFAULT,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<column>_encoded`` per categorical column; null is -1.
 
-    Few categories become one sorted array in a scalar subquery and a position
-    lookup in the row; many are joined.
+    The categories are read from ``base`` (default: the frame itself). Up to a
+    thousand of them become a sorted literal array with a position lookup in the
+    row; more are numbered and joined.
     """
+    source = base if base is not None else df
+    sizes = source.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if sizes[c] <= 1_000]
+    listed = {}
+    if few:
+        listed = source.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in few]).first().asDict()
     out = df
     for column in columns:
         name = f"{column}_encoded"
-        if distinct_values(df, column) <= 1_000:
-            listed = df.agg(F.sort_array(F.collect_set(column)).alias("v")).scalar()
-            code = F.array_position(listed, F.col(column)).cast("int") - 1
+        if column in listed:
+            known = F.lit(listed[column] or []).cast("array<string>")
+            code = F.array_position(known, F.col(column)).cast("int") - 1
             out = out.withColumn(name, F.coalesce(code, F.lit(-1)))
         else:
-            largest = largest_group(df, [column])
-            out = attach(out, category_codes(df, column, cfg), [column], largest, cfg.limits)
+            largest = largest_group(source, [column])
+            out = attach(out, category_codes(source, column, cfg), [column], largest, cfg.limits)
             out = out.withColumn(name, F.coalesce(name, F.lit(-1)))
     return out
 
 
 def medians(df: DataFrame, columns: list[str], cfg: AuditConfig = DEFAULT) -> dict[str, float]:
     """Exact medians of the columns, nulls skipped; a column of nulls gives 0."""
-    small = [c for c in columns if distinct_values(df, c) <= cfg.limits.group_rows]
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    small = [c for c in columns if sizes[c] <= cfg.limits.group_rows]
     found: dict[str, float | None] = {}
     if small:
         row = df.agg(*[F.median(c).alias(c) for c in small]).first()

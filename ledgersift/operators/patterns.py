@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersift.config import DEFAULT, HOUR_US, AuditConfig
 from ledgersift.functions.temporal import micros
-from ledgersift.operators.quantiles import quantiles
+from ledgersift.operators.quantiles import table_quantiles
 from ledgersift.operators.rolling import lookback
 from ledgersift.operators.skew import SLICE, carry_after, largest_group, range_slices
+from ledgersift.session import materialize
 
 # Two values whose ln(1+x) fall into one band of this width differ by less than
 # 1 %, and values within 1 % are at most two bands apart.
@@ -23,25 +24,20 @@ def _narrow(df: DataFrame) -> DataFrame:
     return df.select("id", "user_id", "supplier_id", "amount", micros("created_at").alias("_us"))
 
 
-def amount_quantile(df: DataFrame, prob: float, cfg: AuditConfig = DEFAULT) -> Column:
-    """One quantile of all amounts as a scalar subquery."""
-    return quantiles(df, [], "amount", [prob], "q", cfg.limits).scalar()[0]
-
-
 def splitting(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Several payments of a user to one supplier within a day that add up to a large sum.
 
     Returns (id, fraud_splitting_score) for the rows that score.
     """
-    p75 = amount_quantile(df, 0.75, cfg)
+    p75 = F.lit(table_quantiles(df, "amount", [0.75], cfg.limits)[0])
     rows = _narrow(df).where(F.col("supplier_id").isNotNull() & F.col("user_id").isNotNull())
     keys = ["user_id", "supplier_id"]
     summed = lookback(rows, keys, "amount", cfg.splitting_hours * HOUR_US, True, cfg.limits)
     total = F.col("_s") + F.col("amount")
-    limited = summed.where(F.col("_n") >= 2).withColumns({"_total": total, "_p75": p75})
+    limited = summed.where(F.col("_n") >= 2).withColumn("_total", total)
     by_count = F.least(F.col("_n") / 10.0, F.lit(1.0))
-    by_sum = F.least(F.col("_total") / (F.col("_p75") * 3), F.lit(1.0))
-    return limited.where(F.col("_total") > F.col("_p75")).select(
+    by_sum = F.least(F.col("_total") / (p75 * 3), F.lit(1.0))
+    return limited.where(F.col("_total") > p75).select(
         "id", ((by_count + by_sum) / 2).alias("fraud_splitting_score")
     )
 
@@ -109,7 +105,7 @@ def ghost_suppliers(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
 
     Grouping by supplier carries the single row along, so nothing is joined back.
     """
-    p90 = amount_quantile(df, 0.90, cfg)
+    p90 = F.lit(table_quantiles(df, "amount", [0.90], cfg.limits)[0])
     single = (
         df.where(F.col("supplier_id").isNotNull())
         .groupBy("supplier_id")
@@ -119,10 +115,9 @@ def ghost_suppliers(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
             F.max("amount").alias("_amount"),
         )
         .where("_uses = 1")
-        .withColumn("_p90", p90)
     )
-    return single.where(F.col("_amount") > F.col("_p90")).select(
-        "id", F.least(F.col("_amount") / F.col("_p90"), F.lit(1.0)).alias("fraud_ghost_supplier_score")
+    return single.where(F.col("_amount") > p90).select(
+        "id", F.least(F.col("_amount") / p90, F.lit(1.0)).alias("fraud_ghost_supplier_score")
     )
 
 
@@ -195,18 +190,23 @@ def pattern_hits(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     return merged.withColumn("fraud_score_combined", F.greatest(*PATTERNS))
 
 
-def fraud_threshold(scored: DataFrame, cfg: AuditConfig = DEFAULT) -> Column:
+def fraud_threshold(scored: DataFrame, cfg: AuditConfig = DEFAULT) -> float:
     """The 60th percentile of the non-zero combined scores (0.40 when there are none)."""
     positive = scored.where(F.col("fraud_score_combined") > 0).select("fraud_score_combined")
-    cut = quantiles(
-        positive, [], "fraud_score_combined", [cfg.fraud_quantile], "q", cfg.limits
-    ).scalar()
-    return F.coalesce(cut[0], F.lit(cfg.fraud_fallback))
+    cut = table_quantiles(positive, "fraud_score_combined", [cfg.fraud_quantile], cfg.limits)[0]
+    return cfg.fraud_fallback if cut is None else cut
 
 
-def add_patterns(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Add the four pattern scores, their maximum and ``is_fraud_pattern``."""
-    hits = pattern_hits(df, cfg)
+def add_patterns(
+    df: DataFrame, cfg: AuditConfig = DEFAULT, base: DataFrame | None = None
+) -> DataFrame:
+    """Add the four pattern scores, their maximum and ``is_fraud_pattern``.
+
+    ``base`` may name the narrower ledger the rows come from; the detectors read
+    only its id, user, supplier, amount and creation time. The hits are written
+    once because both the threshold and the join need them.
+    """
+    hits = materialize(pattern_hits(base or df, cfg))
     limit = fraud_threshold(hits, cfg)
     names = [*PATTERNS, "fraud_score_combined"]
     joined = df.join(hits, "id", "left")

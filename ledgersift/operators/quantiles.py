@@ -109,6 +109,14 @@ def quantiles(
     )
 
 
+def table_quantiles(
+    df: DataFrame, value: str, probs: list[float], limits: ScaleLimits
+) -> list[float | None]:
+    """Quantiles of a whole column as plain numbers (nulls if there are no values)."""
+    row = quantiles(df, [], value, probs, "q", limits).first()
+    return list(row["q"]) if row and row["q"] else [None] * len(probs)
+
+
 _distinct: dict[tuple, int] = {}
 
 
