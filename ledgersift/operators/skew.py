@@ -160,3 +160,24 @@ def previous_value(
         .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
         .drop("_carry", SLICE)
     )
+
+
+def number_rows(
+    df: DataFrame, order: list[str], name: str, size: int, limits: ScaleLimits
+) -> DataFrame:
+    """Add ``name``: 1, 2, 3, ... in ``order`` (unique per row), without a one-task sort at scale."""
+    inside = Window.partitionBy(SLICE).orderBy(*order)
+    if size <= limits.group_rows:
+        return df.withColumn(SLICE, F.lit(0)).withColumn(name, F.row_number().over(inside)).drop(SLICE)
+    laid = range_slices(df, order, limits)
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        laid.groupBy(SLICE)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(SLICE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    )
+    return (
+        laid.join(F.broadcast(offsets), SLICE)
+        .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
+        .drop(SLICE, "_offset")
+    )
