@@ -244,10 +244,10 @@ def _histogram(value: str, width: float, bins: int, by: str, columns: str) -> st
       FROM (SELECT {by}, {bin_} AS bin, count(*) AS n FROM scored GROUP BY 1, 2))"""
 
 
-_money = """CASE WHEN amount >= 1e9 THEN printf('%.2f Md XAF', amount / 1e9)
-  WHEN amount >= 1e6 THEN printf('%.1f M XAF', amount / 1e6)
-  WHEN amount >= 1e3 THEN replace(format('{:,}', CAST(amount AS bigint)), ',', ' ') || ' XAF'
-  ELSE printf('%.2f XAF', amount) END"""
+_money = """CASE WHEN off >= 1e9 THEN printf('%.2f Md XAF', off / 1e9)
+  WHEN off >= 1e6 THEN printf('%.1f M XAF', off / 1e6)
+  WHEN off >= 1e3 THEN replace(format('{:,}', CAST(off AS bigint)), ',', ' ') || ' XAF'
+  ELSE printf('%.2f XAF', off) END"""
 _label = "CASE " + " ".join(
     f"WHEN starts_with(x, {_quote(a)}) THEN {_quote(b)}" for a, b in SHORT_LABELS.items()
 ) + " ELSE x END"
@@ -312,15 +312,15 @@ SQL: dict[str, str] = {
     + " FROM imputed CROSS JOIN scaling",
     "align_columns": "SELECT id, amount, 0.0::double AS amount_log, 0.0::double AS hour_of_day FROM base",
     "scalar_functions": f"""SELECT id, CAST(regexp_extract(CAST(CAST(amount AS bigint) AS varchar), '[1-9]') AS int) AS first_digit,
-      CAST(amount >= 100000 AND amount % 10000 = 0 AS int) AS is_round, least(greatest(amount / 1000000.0::double, 0.1), 2.0)::double AS clipped,
-      CASE WHEN amount / 1000000.0::double > 0.9 THEN 'anomaly' WHEN amount / 1000000.0::double >= 0.35 THEN 'watch' ELSE 'clean' END AS verdict,
-      CASE WHEN amount / 1000000.0::double >= 0.5 THEN 'high' WHEN amount / 1000000.0::double >= 0.2 THEN 'medium' ELSE 'low' END AS fraud_level,
-      CASE WHEN amount / 1000000.0::double < 0.20 THEN 'vigilant' WHEN amount / 1000000.0::double <= 0.35 THEN 'balanced' ELSE 'strict' END AS sensitivity_mode,
-      round(least(amount / 1000000.0::double, 1.0::double) * 100, 1) AS risk_index_100, {_money} AS money_text FROM base""",
+      CAST(amount >= 100000 AND amount % 10000 = 0 AS int) AS is_round, least(greatest(amount / 999983.0::double, 0.1), 2.0)::double AS clipped,
+      CASE WHEN amount / 999983.0::double > 0.9 THEN 'anomaly' WHEN amount / 999983.0::double >= 0.35 THEN 'watch' ELSE 'clean' END AS verdict,
+      CASE WHEN amount / 999983.0::double >= 0.5 THEN 'high' WHEN amount / 999983.0::double >= 0.2 THEN 'medium' ELSE 'low' END AS fraud_level,
+      CASE WHEN amount / 999983.0::double < 0.20 THEN 'vigilant' WHEN amount / 999983.0::double <= 0.35 THEN 'balanced' ELSE 'strict' END AS sensitivity_mode,
+      round(least(amount / 999983.0::double, 1.0::double) * 100, 1) AS risk_index_100, {_money} AS money_text FROM (SELECT *, amount + 0.37::double AS off FROM base)""",
     "rules_score": "SELECT id, " + ", ".join(r.name for r in _rules) + ", round(score_rules, 6) AS score_rules, anomaly_rules FROM ruled",
     "rule_explanations": "SELECT id, rules_triggered FROM ruled",
     "rule_short_reasons": f"""SELECT id, CASE WHEN rules_triggered = '' THEN '' ELSE
-      array_to_string(list_transform(string_split(rules_triggered, ' | '), x -> {_label})[1:3], '; ') END AS reasons FROM ruled""",
+      array_to_string([{_label} for x in string_split(rules_triggered, ' | ')][1:3], '; ') END AS reasons FROM ruled""",
     "rule_rates": _rates([r.name for r in _rules], "ruled", "rule"),
     "fraud_splitting": "SELECT id, round(fraud_splitting_score, 6) AS fraud_splitting_score FROM p_splitting",
     "fraud_duplicates": "SELECT id, round(fraud_duplicate_score, 6) AS fraud_duplicate_score FROM p_duplicate",

@@ -293,7 +293,8 @@ def align_columns(spark, d):
 def scalar_functions(spark, d):
     """Digit, rounding test, clipped ratio, money text and tiers of each row."""
     amount = F.col("amount")
-    ratio = amount / 1_000_000.0
+    # A prime divisor keeps the rounded values clear of ties.
+    ratio = amount / 999_983.0
     return tidy(spark, d).select(
         "id",
         scalar.first_digit(amount).cast("int").alias("first_digit"),
@@ -303,7 +304,7 @@ def scalar_functions(spark, d):
         scalar.fraud_level(F.least(ratio, F.lit(1.0))).alias("fraud_level"),
         scalar.sensitivity_mode(F.least(ratio, F.lit(1.0))).alias("sensitivity_mode"),
         F.round(F.least(ratio, F.lit(1.0)) * 100, 1).alias("risk_index_100"),
-        scalar.money_text(amount).alias("money_text"),
+        scalar.money_text(amount + 0.37).alias("money_text"),
     )
 
 

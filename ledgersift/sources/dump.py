@@ -120,8 +120,8 @@ def write_dump(df: DataFrame, path: str, table: str = "expenses", batch: int = 1
             full = len(held) - len(held) % batch
             made = [prefix + ",\n".join(held[i : i + batch]) + ";" for i in range(0, full, batch)]
             held = held[full:]
-            yield pd.DataFrame({"value": made})
+            yield pd.DataFrame({"value": made}, dtype=object)
         if held:
-            yield pd.DataFrame({"value": [prefix + ",\n".join(held) + ";"]})
+            yield pd.DataFrame({"value": [prefix + ",\n".join(held) + ";"]}, dtype=object)
 
     rows.mapInPandas(statements, "value string").write.text(path)
