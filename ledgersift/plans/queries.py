@@ -721,12 +721,18 @@ def knn_edges(spark, d):
         F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
-    vectors = materialize(knn.distinct_vectors(rows))
+    vectors = knn.distinct_vectors(rows)
     near = knn.nearest(vectors.select("vid", "vec"), knn.prepare(vectors), 5)
-    return near.select("vid", F.posexplode("near").alias("rank", "e")).select(
+    edges = near.select("vid", F.posexplode("near").alias("rank", "e")).select(
         "vid", F.col("rank").cast("long").alias("rank"), F.col("e.nid").alias("nid"),
         F.round("e.d", 5).alias("d"),
     )
+    names = vectors.select("vid", "name")
+    return (
+        edges.join(names, "vid")
+        .join(names.select(F.col("vid").alias("nid"), F.col("name").alias("other")), "nid")
+        .select(F.col("name").alias("vid"), "rank", F.col("other").alias("nid"), "d")
+    )
 
 
 @query

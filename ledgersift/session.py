@@ -38,6 +38,17 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def work_partitions(spark: SparkSession, groups: int) -> int:
+    """Partitions for work that is heavy per byte: a few per core, never more than groups.
+
+    Adaptive execution merges partitions by their size in bytes; an explicit
+    number keeps compute-bound stages spread over all cores.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(groups, max(shuffle, 4 * cores)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
