@@ -141,24 +141,20 @@ def inflation(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
         {
             "_rank": F.rank().over(user.orderBy("amount")) + (equal - 1) / 2.0,
             "_time": -F.col("_back").cast("double"),
+            "_min": F.min("amount").over(user),
+            "_max": F.max("amount").over(user),
         }
-    )
+    ).where(F.col("_min") < F.col("_max"))
     rho = F.corr("_time", "_rank")
     users = ranked.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_n"),
         rho.alias("_rho"),
-        F.min("amount").alias("_min"),
-        F.max("amount").alias("_max"),
         F.collect_list("id").alias("_ids"),
     )
     critical = F.lit(cfg.inflation_rho)
     for n, limit in RHO_CRITICAL.items():
         critical = F.when(F.col("_n") == n, F.greatest(F.lit(limit), F.lit(cfg.inflation_rho))).otherwise(critical)
-    rising = (
-        (F.col("_n") >= cfg.inflation_min_tx)
-        & (F.col("_min") < F.col("_max"))
-        & (F.col("_rho") > critical)
-    )
+    rising = (F.col("_n") >= cfg.inflation_min_tx) & (F.col("_rho") > critical)
     score = (F.col("_rho") - cfg.inflation_rho) / (1 - cfg.inflation_rho)
     return users.where(rising).select(
         F.explode("_ids").alias("id"), score.alias("fraud_inflation_score")

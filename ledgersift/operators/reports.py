@@ -140,7 +140,7 @@ def describe_amounts(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Extremes, percentiles, moments and bias-corrected skewness of the amounts."""
     cuts = [0.25, 0.5, 0.75, 0.95, 0.99]
     n = F.count("amount")
-    fix = F.sqrt(n * (n - 1)) / (n - 2)
+    fix = F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))
     moments = df.agg(
         F.min("amount").alias("min_amount"),
         F.max("amount").alias("max_amount"),
@@ -286,7 +286,7 @@ def threshold_sweep(
             F.struct(
                 F.lit(t).alias("threshold"),
                 F.col(f"n{i}").alias("anomalies"),
-                F.round(F.col(f"n{i}") * 100.0 / F.col("_rows"), 2).alias("rate_pct"),
+                share(F.col(f"n{i}"), F.col("_rows")).alias("rate_pct"),
                 F.col(f"a{i}").alias("amount"),
             )
         )
@@ -378,7 +378,7 @@ def benford(df: DataFrame, value: str = "amount") -> DataFrame:
     )
     total = full.groupBy("_one").agg(F.sum("n").alias("t"))
     apart = full.join(total, "_one")
-    expected = F.col("p") * F.col("t")
+    expected = F.col("p") * F.nullif(F.col("t"), F.lit(0))
     stat = apart.groupBy("_one").agg(
         F.sum(F.pow(F.col("n") - expected, 2) / expected).alias("chi2")
     )
@@ -387,7 +387,7 @@ def benford(df: DataFrame, value: str = "amount") -> DataFrame:
     return apart.join(stat, "_one").select(
         "digit",
         "n",
-        (F.col("n") * 100.0 / F.col("t")).alias("observed_pct"),
+        (F.col("n") * 100.0 / F.nullif(F.col("t"), F.lit(0))).alias("observed_pct"),
         (F.col("p") * 100.0).alias("expected_pct"),
         "chi2",
         tail.alias("p_value"),

@@ -26,7 +26,8 @@ def _merge(a: Column, b: Column) -> Column:
         (a["s"] + b["s"]).alias("s"),
         (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / (a["n"] + b["n"])).alias("m2"),
     )
-    return F.when(a.isNull() | (a["n"] == 0), b).when(b.isNull() | (b["n"] == 0), a).otherwise(both)
+    lacks_a, lacks_b = a.isNull() | (a["n"] == 0), b.isNull() | (b["n"] == 0)
+    return F.when(lacks_a, F.coalesce(b, a)).when(lacks_b, a).otherwise(both)
 
 
 def _moments(value: str, w) -> Column:
