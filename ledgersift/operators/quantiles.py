@@ -10,7 +10,12 @@ from ledgersift.operators.skew import SLICE, largest_group, range_slices
 
 
 def value_blocks(
-    df: DataFrame, keys: list[str], value: str, limits: ScaleLimits, distinct: int
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    limits: ScaleLimits,
+    distinct: int,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct non-null values per key with their occurrence count and global position.
 
@@ -22,7 +27,7 @@ def value_blocks(
     blocks = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_count"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count"))
     )
     if distinct <= limits.group_rows:
         laid = blocks.withColumn(SLICE, F.lit(0))
@@ -55,10 +60,11 @@ def quantiles(
     probs: list[float],
     name: str,
     limits: ScaleLimits,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key as an array column ``name``.
 
-    ``keys`` may be empty for quantiles of the whole column. The built-in
+    A row counts ``weight`` times (an integer column). ``keys`` may be empty for quantiles of the whole column. The built-in
     aggregate buffers the distinct values of a key in one task; when a key has
     too many of them the positions come from :func:`value_blocks` instead.
     """
@@ -70,10 +76,11 @@ def quantiles(
     else:
         distinct = distinct_values(kept, value)
     if distinct <= limits.group_rows:
-        exact = F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias(name)
+        times = F.col(weight) if weight else F.lit(1)
+        exact = F.percentile(value, F.array(*[F.lit(p) for p in probs]), times).alias(name)
         return kept.groupBy(*keys).agg(exact)
 
-    blocks = value_blocks(kept, keys, value, limits, distinct)
+    blocks = value_blocks(kept, keys, value, limits, distinct, weight)
     pairs = blocks.groupBy(*keys, SLICE).agg(
         F.sum("_count").alias("_rows"), F.min("_first").alias("_low")
     )
@@ -110,10 +117,14 @@ def quantiles(
 
 
 def table_quantiles(
-    df: DataFrame, value: str, probs: list[float], limits: ScaleLimits
+    df: DataFrame,
+    value: str,
+    probs: list[float],
+    limits: ScaleLimits,
+    weight: str | None = None,
 ) -> list[float | None]:
     """Quantiles of a whole column as plain numbers (nulls if there are no values)."""
-    row = quantiles(df, [], value, probs, "q", limits).first()
+    row = quantiles(df, [], value, probs, "q", limits, weight).first()
     return list(row["q"]) if row and row["q"] else [None] * len(probs)
 
 

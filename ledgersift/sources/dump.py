@@ -61,7 +61,10 @@ def read_dump(
     record, so a large file is read in parallel splits. Column names come from
     the first statement; tuples with another number of cells are rejected.
     """
-    text = spark.read.option("lineSep", ";\n").option("encoding", encoding).text(path)
+    text = spark.read.option("lineSep", ";\n").text(path)
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        # The text source hands the bytes through as they are.
+        text = text.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
     head = rf"(?is)INSERT INTO `?{table}`?\s*\(([^)]+)\)\s*VALUES\s*(.*)"
     statements = text.select(
         F.regexp_extract("value", head, 1).alias("names"),
