@@ -97,7 +97,7 @@ class ScaleLimits:
     group_rows: int = 2_000_000
     frame_rows: int = 4_096
     slices: int = 0          # 0: the session's shuffle partition count
-    salt: int = 64
+    salt: int = 65_536
     broadcast_rows: int = 100_000
 
 

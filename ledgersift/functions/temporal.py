@@ -9,8 +9,13 @@ from ledgersift.config import DAY_US, AuditConfig
 
 
 def micros(column: str) -> Column:
-    """Microseconds since the epoch; the session time zone cancels out in differences."""
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds from 1970-01-01 to a local timestamp, whatever the session time zone."""
+    since = F.col(column).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    days, hours, minutes, seconds = (
+        F.extract(F.lit(unit), since) for unit in ("DAY", "HOUR", "MINUTE", "SECOND")
+    )
+    whole = (days.cast("long") * 24 + hours) * 60 + minutes
+    return whole * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
 def weekday(column: str) -> Column:

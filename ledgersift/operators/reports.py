@@ -370,24 +370,25 @@ def benford(df: DataFrame, value: str = "amount") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     nine = df.sparkSession.range(1, 10).withColumnRenamed("id", "digit")
+    # Nine rows from here on, so an unpartitioned window is safe.
+    whole = Window.partitionBy()
     full = nine.join(digits, "digit", "left").select(
         "digit",
         F.coalesce("n", F.lit(0)).alias("n"),
         F.log10(1 + 1 / F.col("digit")).alias("p"),
-        F.lit(1).alias("_one"),
     )
-    total = full.groupBy("_one").agg(F.sum("n").alias("t"))
-    apart = full.join(total, "_one")
-    expected = F.col("p") * F.nullif(F.col("t"), F.lit(0))
-    stat = apart.groupBy("_one").agg(
-        F.sum(F.pow(F.col("n") - expected, 2) / expected).alias("chi2")
+    total = F.nullif(F.sum("n").over(whole), F.lit(0))
+    counted = full.withColumn("t", total)
+    expected = F.col("p") * F.col("t")
+    tested = counted.withColumn(
+        "chi2", F.sum(F.pow(F.col("n") - expected, 2) / expected).over(whole)
     )
     half = F.col("chi2") / 2
     tail = F.exp(-half) * (1 + half + F.pow(half, 2) / 2 + F.pow(half, 3) / 6)
-    return apart.join(stat, "_one").select(
+    return tested.select(
         "digit",
         "n",
-        (F.col("n") * 100.0 / F.nullif(F.col("t"), F.lit(0))).alias("observed_pct"),
+        (F.col("n") * 100.0 / F.col("t")).alias("observed_pct"),
         (F.col("p") * 100.0).alias("expected_pct"),
         "chi2",
         tail.alias("p_value"),
