@@ -30,8 +30,8 @@ from ledgersift.llm.rolling import mixed, prefix_sums, sliding_min, span_hash, w
 WIDTH = 50
 TRIGGER = 24
 PHRASE = 512
-CHUNK_BYTES = 8 << 20
-BATCH_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 SEED = 5
 WORDS, MINIMA, STRINGS = 1, 2, 3
 EXCHANGE = "kind int, chunk long, bucket long, keys binary, docs binary"
@@ -90,6 +90,40 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default
 FAR = np.iinfo(np.int64).max
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers as their lowest bytes, as many as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    low = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as the first one and the steps between them."""
+    return int(keys[0]).to_bytes(8, "little") + _pack(np.diff(keys))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    first = np.frombuffer(blob, "<u8", 1)
+    return np.cumsum(np.concatenate([first, _unpack(blob[8:])]), dtype=np.uint64)
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Signed ids as the smallest one and the differences from it."""
+    low = int(ids.min())
+    return low.to_bytes(8, "little", signed=True) + _pack((ids - low).astype(np.uint64))
+
+
+def unpack_ids(blob: bytes) -> np.ndarray:
+    return _unpack(blob[8:]).astype(np.int64) + int.from_bytes(blob[:8], "little", signed=True)
+
+
 class _Chunk:
     """What one chunk knows: its own smallest documents per key, and the answers from the buckets."""
 
@@ -104,10 +138,11 @@ class _Chunk:
             kinds = answers.column("kind").to_pylist()
             for kind in set(kinds):
                 rows = [i for i, k in enumerate(kinds) if k == kind]
-                keys = np.frombuffer(b"".join(answers.column("keys")[i].as_py() for i in rows), np.uint64)
-                docs = np.frombuffer(b"".join(answers.column("docs")[i].as_py() for i in rows), np.int64)
+                keys = np.concatenate([unpack_keys(answers.column("keys")[i].as_py()) for i in rows])
                 if kind == MINIMA:
                     docs = np.ones(len(keys), np.int64)
+                else:
+                    docs = np.concatenate([unpack_ids(answers.column("docs")[i].as_py()) for i in rows])
                 self.answers[kind] = _smallest(keys, docs)
         self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -199,8 +234,8 @@ def _send(kind: int, chunk: int, keys: np.ndarray, docs: np.ndarray | None, buck
         "kind": pa.array(np.full(len(full), kind), pa.int32()),
         "chunk": pa.array(np.full(len(full), chunk), pa.int64()),
         "bucket": pa.array(full, pa.int64()),
-        "keys": pa.array([keys[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
-        "docs": pa.array([b"" if docs is None else docs[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
+        "keys": pa.array([pack_keys(keys[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
+        "docs": pa.array([b"" if docs is None else pack_ids(docs[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
     })
 
 
@@ -208,12 +243,12 @@ def _answer(table: pa.Table) -> pa.Table:
     """For each chunk the keys of a bucket that other chunks have: with a smaller document, or (minima) at all."""
     kind = table.column("kind")[0].as_py()
     chunks = table.column("chunk").to_numpy()
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
     source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     flat = np.concatenate(keys)
     docs = (
         np.zeros(len(flat), np.int64) if kind == MINIMA
-        else np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
+        else np.concatenate([unpack_ids(d) for d in table.column("docs").to_pylist()])
     )
     order = np.argsort(flat, kind="stable")
     k, d, s = flat[order], docs[order], source[order]
@@ -231,8 +266,8 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({
         "kind": pa.array(np.full(len(full), kind), pa.int32()),
         "chunk": pa.array(chunks[full], pa.int64()),
-        "keys": pa.array([k[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary()),
-        "docs": pa.array([b"" if kind == MINIMA else low[cuts[i]:cuts[i + 1]].tobytes() for i in full], pa.binary()),
+        "keys": pa.array([pack_keys(k[cuts[i]:cuts[i + 1]]) for i in full], pa.binary()),
+        "docs": pa.array([b"" if kind == MINIMA else pack_ids(low[cuts[i]:cuts[i + 1]]) for i in full], pa.binary()),
     })
 
 
