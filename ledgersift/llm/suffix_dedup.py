@@ -29,7 +29,7 @@ from ledgersift.llm.rolling import mixed, prefix_sums, sliding_min, span_hash, w
 
 WIDTH = 50
 TRIGGER = 24
-PHRASE = 512
+PHRASE = 128
 CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 1 << 19
 SEED = 5
