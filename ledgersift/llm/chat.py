@@ -106,7 +106,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         flatten_parts(F.col("parts")).alias("content"), attachments(F.col("parts")).alias("files"),
     )
     grouped = flat.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content", "files")), _turn_order).alias("turns")
+        F.sort_array(F.collect_list(F.struct("turn", "role", "content", "files"))).alias("turns")
     )
     marked = F.transform(
         F.col("turns"),
@@ -123,13 +123,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def _turn_order(a: Column, b: Column) -> Column:
-    def by(x: Column, y: Column) -> Column:
-        return F.when(x.isNull() & y.isNotNull(), -1).when(y.isNull() & x.isNotNull(), 1).when(x < y, -1).when(x > y, 1)
-
-    return F.coalesce(*[by(a[n], b[n]) for n in ("turn", "role", "content")], F.lit(0))
-
-
 def read_back(formatted: DataFrame) -> DataFrame:
     """Add ``turns`` (role, text) read from ``formatted``: split at the marks, escapes undone.
 

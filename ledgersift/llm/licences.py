@@ -63,6 +63,7 @@ KNOWN = {
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0."],
 }
 
+MAX_KNOWN = 5000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)(?:[^a-z\n][^\n]*)?$"
 GAPS = r"[^a-z0-9\x80-\x{10FFFF}]+"
@@ -89,9 +90,11 @@ def spelled(text: Column) -> Column:
 
 def known_licences(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
     """(licence, digest, size) of the known texts, one row per distinct canonical text."""
-    rows = [(name, text) for name, texts in known.items() for text in texts]
-    form = spark.createDataFrame(rows, "licence string, text string").select(
-        "licence", canonical(F.col("text")).alias("form")
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, texts in known.items() for t in texts]
+    )
+    form = spark.range(1).select(F.explode(rows).alias("x")).select(
+        "x.licence", canonical(F.col("x.text")).alias("form")
     )
     return form.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("size")).agg(
         F.min("licence").alias("licence")
@@ -101,33 +104,37 @@ def known_licences(spark: SparkSession, known: dict[str, list[str]] = KNOWN) ->
 def scan_licences(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """Add ``text_digest``, ``licence`` (of the whole text, or null) and ``notices`` (of its lines).
 
-    ``known`` is a small table of (digest, size, licence), broadcast; its sizes
-    select the lines whose digest is worth computing. Null texts count as empty
-    and match nothing. Rows are neither merged nor dropped; columns of these
-    names are replaced. ``notices`` is a sorted list without repeats.
+    ``known`` is a small table of (digest, size, licence), at most ``MAX_KNOWN``
+    rows: broadcast for the whole texts, and literals for the lines, of which
+    only those with a known size get a digest. Null texts count as empty and
+    match nothing. Rows are neither merged nor dropped; columns of these names
+    are replaced. ``notices`` is a sorted list without repeats.
     """
-    table = F.broadcast(
-        known.where(F.col("size") > 0).agg(
-            F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("_by_digest"),
-            F.collect_set("size").alias("_sizes"),
-        )
-    )
+    table = known.where(F.col("size") > 0).orderBy("digest").limit(MAX_KNOWN + 1).collect()
+    if len(table) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known texts")
+    sizes = sorted({r["size"] for r in table})
     source = F.coalesce(F.col(text), F.lit(""))
+    names = docs.drop("text_digest", "licence", "notices")
+    if not sizes:
+        return names.withColumns({
+            "text_digest": F.sha2(canonical(source), 256), "licence": F.lit(None).cast("string"),
+            "notices": F.array().cast("array<string>"),
+        })
     lines = F.transform(
         F.split(F.translate(source, UPPER, LOWER), "\n"),
         lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, COPYRIGHT, " "), GAPS, " ")),
     )
-    # Spelling changes sizes by a little; lines far from any known size cannot match.
-    longest = F.array_max(F.col("_sizes")) + 40
-    near = F.transform(F.filter(lines, lambda x: (x != "") & (F.length(x) <= longest)), spelled)
-    digests = F.transform(
-        F.filter(near, lambda x: F.array_contains(F.col("_sizes"), F.length(x))), lambda x: F.sha2(x, 256)
+    # No spelling shortens a line by half; longer lines cannot match.
+    near = F.transform(F.filter(lines, lambda x: (x != "") & (F.length(x) <= 2 * sizes[-1])), spelled)
+    digests = F.transform(F.filter(near, lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
+    by_digest = F.map_from_arrays(
+        F.array(*[F.lit(r["digest"]) for r in table]), F.array(*[F.lit(r["licence"]) for r in table])
     )
-    found = F.transform(digests, lambda d: F.try_element_at(F.col("_by_digest"), d))
+    found = F.transform(digests, lambda d: F.try_element_at(by_digest, d))
+    whole = F.broadcast(known.where(F.col("size") > 0).select(F.col("digest").alias("text_digest"), "licence"))
     return (
-        docs.drop("text_digest", "licence", "notices").join(table)
-        .withColumn("text_digest", F.sha2(canonical(source), 256))
-        .withColumn("licence", F.try_element_at(F.col("_by_digest"), F.col("text_digest")))
+        names.withColumn("text_digest", F.sha2(canonical(source), 256))
         .withColumn("notices", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
-        .drop("_by_digest", "_sizes")
+        .join(whole, "text_digest", "left")
     )

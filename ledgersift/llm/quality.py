@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from ledgersift.llm.rolling import prefix_sums, span_hash
 
 #: Labelled rows used for fitting, at most; the labels beyond are not needed for a table of this size.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: Characters of the sample, at most; rows beyond it, in the order of their hash, are left out whole.
 SAMPLE_CHARS = 40_000_000
 BUCKETS = 1 << 16
 DIMENSIONS = 12
-EPOCHS = 12
+EPOCHS = 6
 RATE = 0.25
 NGRAMS = (3, 4)
 BATCH_BYTES = 1 << 20

@@ -38,8 +38,9 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    probes = spark.createDataFrame(
-        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    probes = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"),
     )
     parts = turns.unionByName(probes).withColumn("parts", chat.text_parts(F.col("text")))
     back = chat.read_back(chat.format_conversations(parts))
