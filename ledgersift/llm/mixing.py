@@ -20,7 +20,7 @@ from ledgersift.session import materialize
 from ledgersift.llm.words import WORD, word_count
 
 BLOCK_WORDS = 256
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 SLOT_RUN = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
@@ -84,7 +84,7 @@ def place_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
     inside = Window.partitionBy("sid", "_chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         sided.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["sid", "_chunk"])
+        .join(offsets.hint("merge"), ["sid", "_chunk"])
         .withColumn("start", F.col("_before") + F.col("_inside"))
         .drop("_chunk", "_before", "_inside", "chunks")
     )
@@ -166,14 +166,14 @@ def taken_words(docs: DataFrame) -> DataFrame:
     placed = place_documents(sized.drop("text"), targets)
     used = mix_slots(targets).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        block_pieces(placed).join(used, ["sid", "block"])
+        block_pieces(placed).join(used.hint("merge"), ["sid", "block"])
         .groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
     # An empty document shares its start with its successor but takes nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
     return (
         placed.withColumn("_start", key)
-        .join(taken.withColumnRenamed("start", "_start"), ["sid", "_start"], "left")
+        .join(taken.withColumnRenamed("start", "_start").hint("merge"), ["sid", "_start"], "left")
         .select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
         )
@@ -192,7 +192,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     placed = place_documents(sized, targets)
     bounds = sized.select("doc_id", "source", "size")
     taken = (
-        block_pieces(place_documents(bounds, targets)).join(mix_slots(targets), ["sid", "block"])
+        block_pieces(place_documents(bounds, targets)).join(mix_slots(targets).hint("merge"), ["sid", "block"])
         .groupBy("sid", "start", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
     )
@@ -208,7 +208,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     )
     whole = F.col("_taken") == F.col("size")
     mixed = (
-        placed.where(F.col("size") > 0).join(taken, ["sid", "start"])
+        placed.where(F.col("size") > 0).join(taken.hint("merge"), ["sid", "start"])
         .withColumn("_words", F.when(~whole, words))
         .withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     )
