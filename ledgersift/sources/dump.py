@@ -20,9 +20,9 @@ def cell_value(raw: Column) -> Column:
     """A dump cell as text: NULL becomes null, quotes go, escaped quotes and backslashes are undone."""
     text = F.trim(raw)
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    plain = F.replace(
-        F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\")
-    )
+    # Doubled backslashes are parted off first; what is left of an escape is its own pair.
+    pieces = F.transform(F.split(inner, r"\\\\"), _undone)
+    plain = F.array_join(pieces, "\\")
     return (
         F.when(F.upper(text) == "NULL", F.lit(None).cast("string"))
         .when(text.startswith("'") & text.endswith("'"), plain)
@@ -30,6 +30,12 @@ def cell_value(raw: Column) -> Column:
     )
 
 
+def _undone(piece: Column) -> Column:
+    for written, meant in (("\\'", "'"), ("\\n", "\n"), ("\\r", "\r")):
+        piece = F.replace(piece, F.lit(written), F.lit(meant))
+    return piece
+
+
 def typed_column(name: str, text: Column) -> Column:
     """The load-time cast of a ledger column; what does not parse becomes null."""
     if name in TIMESTAMP_COLUMNS:
@@ -65,6 +71,9 @@ def read_dump(
     if encoding.upper() not in ("UTF-8", "UTF8"):
         # The text source hands the bytes through as they are.
         text = text.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    # A record may hold several statements: other line ends, or several on one line.
+    start = rf"(?i)INSERT INTO `?{table}`?\s*\("
+    text = text.select(F.explode(F.split("value", rf";\s*(?={start})")).alias("value"))
     head = rf"(?is)INSERT INTO `?{table}`?\s*\(([^)]+)\)\s*VALUES\s*(.*)"
     statements = text.select(
         F.regexp_extract("value", head, 1).alias("names"),
@@ -84,6 +93,10 @@ def read_dump(
     rejected = cells.where(~fits).select(
         "row", F.size("cells").alias("found"), F.lit(len(columns)).alias("expected")
     )
+    # What stands between the tuples and is no separator is reported as well.
+    between = F.explode(F.split("body", TUPLE)).alias("row")
+    left = statements.select(between).where(~F.col("row").rlike(r"^[\s,;]*$"))
+    rejected = rejected.unionByName(left.select("row", F.lit(0).alias("found"), F.lit(len(columns)).alias("expected")))
     return rows, rejected
 
 
@@ -99,6 +112,7 @@ def literal(name: str, kind: str) -> Column:
         shown = value.cast("string")
     else:
         safe = F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\"))
+        safe = F.replace(F.replace(safe, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
         shown = F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'"))
     return F.when(value.isNull(), F.lit("NULL")).otherwise(F.coalesce(shown, F.lit("NULL")))
 
