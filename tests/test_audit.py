@@ -25,21 +25,21 @@ def models(ledger):
 
 
 def test_audit_contract(scored):
-    assert scored.count() == 98
+    assert scored.count() == 118
     for column in [*ensemble.SCORES, "score_final", *ensemble.PATTERN_COLUMNS]:
         low, high = scored.agg(F.min(column), F.max(column)).first()
         assert 0 <= low <= high <= 1, column
     for column in [*ensemble.FLAGS, "is_anomaly"]:
         assert {r[0] for r in scored.select(column).distinct().collect()} <= {0, 1}
-    assert scored.orderBy(F.desc("score_final")).first().id == "EXP_00050"
+    assert scored.orderBy(F.desc("score_final")).first().id == "EXP_00037"
 
 
 def test_top_and_summary(scored):
     top = [r.score_final for r in reports.top_anomalies(scored, 10).collect()]
     assert top == sorted(top, reverse=True) and len(top) == 10
     row = reports.audit_summary(scored).first()
-    assert row.total_transactions == 98 and row.total_anomalies >= 1
-    assert row.anomaly_amount_max >= 15_000_000
+    assert row.total_transactions == 118 and row.total_anomalies >= 1
+    assert row.anomaly_amount_max >= 9_250_000
 
 
 def test_policies(spark):

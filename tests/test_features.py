@@ -50,7 +50,7 @@ def test_calendar_flags(ledger):
 
 
 def test_outlier_has_a_high_score(ledger):
-    out = features.add_amount_global(clean(ledger)).where("id = 'EXP_00050'").first()
+    out = features.add_amount_global(clean(ledger)).where("id = 'EXP_00037'").first()
     assert out.amount_zscore_global > 2 and out.amount_iqr_flag_global == 1
 
 

@@ -72,11 +72,11 @@ def test_reports_by_suffix(spark, ledger, tmp_path):
     for name in ("r.csv", "r.json", "r.parquet"):
         write_report(ledger, str(tmp_path / name))
     back = read_csv_ledger(spark, str(tmp_path / "r.csv"))
-    assert back.count() == 100 and back.where("amount = 15000000").count() == 1
+    assert back.count() == 120 and back.where("amount = 9250000").count() == 1
     lines = [line for p in (tmp_path / "r.json").glob("part-*") for line in p.read_text().splitlines()]
     record = next(r for r in map(json.loads, lines) if r["id"] == "EXP_00000")
-    assert record["created_at"].startswith("2026-05-01T09:00:00") and record["paid_at"] is None
-    assert spark.read.parquet(str(tmp_path / "r.parquet")).count() == 100
+    assert record["created_at"].startswith("2025-11-03T08:20:00") and record["paid_at"] is None
+    assert spark.read.parquet(str(tmp_path / "r.parquet")).count() == 120
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -84,10 +84,10 @@ def test_pseudonyms_are_consistent(spark, ledger, sliced, hot):
     cfg = {"cfg": sliced} if hot else {}
     out = privacy.pseudonymize(ledger, **cfg).collect()
     before = {r.amount: r for r in ledger.collect()}
-    assert len(out) == 100 and {r.id for r in out} == {f"EXP_{i:05d}" for i in range(1, 101)}
+    assert len(out) == 120 and {r.id for r in out} == {f"EXP_{i:05d}" for i in range(1, 121)}
     pairs = {(before[r.amount].user_id, r.user_id) for r in out}
-    assert len(pairs) == 5 and ("USR_0001", "USR_0001") in pairs
-    assert sum(r.supplier_id is None for r in out) == 10
+    assert len(pairs) == 7 and ("AGENT_0", "USR_0001") in pairs
+    assert sum(r.supplier_id is None for r in out) == 20
 
 
 def test_billing(spark):
@@ -109,5 +109,25 @@ def test_billing(spark):
 def test_anonymize_shifts_by_weeks(spark, ledger):
     out = privacy.anonymize(ledger)
     first = out.where("id = 'EXP_00001'").first()
-    assert first.created_at.isoformat() == "2026-07-10T09:00:00" and first.items is None and first.shipping is None
+    assert first.created_at.isoformat() == "2026-01-12T08:20:00" and first.items is None and first.shipping is None
     assert out.select("metadata").distinct().first().metadata == privacy.METADATA
+
+
+def test_text_survives_dump_and_csv(spark, tmp_path):
+    odd = ["p;\nq", "it's \\n here", "tab\r\nend\\", "a\\'b", "{x}; INSERT", 'q"u,o', "z"]
+    df = frame(spark, [ledger_row(i, reference=t) for i, t in enumerate(odd)]).select("id", "reference", "amount")
+    write_dump(df, str(tmp_path / "d.sql"))
+    rows, rejected = read_dump(spark, str(tmp_path / "d.sql"))
+    write_report(df, str(tmp_path / "d.csv"))
+    for back in (rows, read_csv_ledger(spark, str(tmp_path / "d.csv"))):
+        assert [r.reference for r in back.orderBy("id").collect()] == odd
+    assert rejected.count() == 0
+
+
+def test_every_tuple_is_read_or_rejected(spark, tmp_path):
+    head = "INSERT INTO `expenses` (`id`,`amount`) VALUES "
+    (tmp_path / "e.sql").write_bytes(
+        f"{head}\r\n('a',1.0),\r\n('b',2.0);\r\n{head}('c',3.0); {head}('d',4), ({{\"k\": {{\"z\": 1}}}}, 5);\r\n".encode()
+    )
+    rows, rejected = read_dump(spark, str(tmp_path / "e.sql"))
+    assert {r.id for r in rows.collect()} == set("abcd") and rejected.count() == 1
