@@ -11,6 +11,8 @@ Spark jobs over buckets, each of which has at most a few thousand digests.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 BUCKET_KEYS = 4096
 GROUP_KEYS = 4
+STRIDES = 1 << 14  # tried per group before the bucket gets another salt
 NO_ID = 2**63 - 1  # stands for a null doc_id, which comes last
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,20 +34,44 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _keys(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three 64-bit numbers from the last 24 bytes of 32-byte digests (the first choose the bucket)."""
+def _keys(digests: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three 64-bit numbers from the last 24 bytes of 32-byte digests (the first choose the bucket).
+
+    With a salt they come from the digest of salt and digest.
+    """
+    if salt:
+        head = salt.to_bytes(8, "big")
+        rows = [hashlib.sha256(head + d.tobytes()).digest() for d in digests.reshape(-1, 32)]
+        digests = np.frombuffer(b"".join(rows), np.uint8)
     words = digests.reshape(-1, 32).view(">u8")
     return words[:, 1].astype(np.uint64), words[:, 2].astype(np.uint64), words[:, 3].astype(np.uint64)
 
 
+def _base(h2: np.ndarray, h3: np.ndarray, stride: np.ndarray | np.uint64, n: int) -> np.ndarray:
+    """Slots before the shift. Every stride mixes all bits anew, so that no ``n`` makes strides repeat each other."""
+    x = h2 ^ (h3 + stride * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) % np.uint64(n)
+
+
 def build_hash(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(strides, shifts, slots): a minimal perfect hash of distinct digests.
 
     Keys fall into groups of about four. A group's keys go to the slots
-    ``(h2 + stride * h3 + shift) mod n``; the largest groups choose first, and a
-    single key simply shifts to the next free slot.
+    ``(mix(h2, h3, stride) + shift) mod n``; the largest groups choose first, and a
+    single key simply shifts to the next free slot. Where a group finds no
+    place, all keys are hashed again with the next salt, which stands before the strides.
     """
-    h1, h2, h3 = _keys(digests)
+    salt = 0
+    while (found := _displace(*_keys(digests, salt))) is None:
+        salt += 1
+    strides, shifts, slots = found
+    return np.concatenate([np.array([salt], np.uint32), strides]), shifts, slots
+
+
+def _displace(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(strides, shifts, slots), or None when a group fits nowhere."""
     n = len(h1)
     groups = max(1, -(-n // GROUP_KEYS))
     of = (h1 % np.uint64(groups)).astype(np.int64)
@@ -60,12 +87,12 @@ def build_hash(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         if len(members) == 1:
             while taken[free]:
                 free += 1
-            base = int(h2[members[0]] % np.uint64(n))
+            base = int(_base(h2[members], h3[members], np.uint64(0), n)[0])
             shifts[g], slots[members[0]] = (free - base) % n, free
             taken[free] = True
             continue
-        for stride in range(1 << 16):
-            base = ((h2[members] + np.uint64(stride) * h3[members]) % np.uint64(n)).astype(np.int64)
+        for stride in range(STRIDES):
+            base = _base(h2[members], h3[members], np.array([stride], np.uint64), n).astype(np.int64)
             if len(np.unique(base)) < len(base):
                 continue
             clear = ~taken[(base[:, None] + every) % n].any(axis=0)
@@ -76,16 +103,15 @@ def build_hash(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 taken[slots[members]] = True
                 break
         else:
-            raise RuntimeError("no displacement found")
+            return None
     return strides, shifts, slots
 
 
 def find_slots(digests: np.ndarray, n: int, strides: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """The slot each digest would have; whether it is there is for the caller to compare."""
-    h1, h2, h3 = _keys(digests)
-    g = (h1 % np.uint64(len(strides))).astype(np.int64)
-    with np.errstate(over="ignore"):
-        base = (h2 + strides[g].astype(np.uint64) * h3) % np.uint64(n)
+    h1, h2, h3 = _keys(digests, int(strides[0]))
+    g = (h1 % np.uint64(len(shifts))).astype(np.int64)
+    base = _base(h2, h3, strides[1 + g].astype(np.uint64), n)
     return ((base + shifts[g].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 

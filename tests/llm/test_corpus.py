@@ -238,6 +238,33 @@ def test_minimal_perfect_hash():
     assert (perfect_hash.find_slots(digests, 3000, strides, shifts) == slots).all()
 
 
+def test_minimal_perfect_hash_of_any_size():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 65), 128, 256, 1024, 2048, 4096]:
+        for _ in range(6 if n <= 64 else 1):
+            digests = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+            strides, shifts, slots = perfect_hash.build_hash(digests)
+            assert sorted(slots) == list(range(n))
+            assert (perfect_hash.find_slots(digests, n, strides, shifts) == slots).all()
+
+
+def test_minimal_perfect_hash_of_equal_low_bits(monkeypatch):
+    digests = np.zeros((2, 32), np.uint8)
+    digests[1, 0] = 1  # only the first bytes differ: no displacement parts the two, the salt does
+    monkeypatch.setattr(perfect_hash, "STRIDES", 8)
+    strides, shifts, slots = perfect_hash.build_hash(digests)
+    assert sorted(slots) == [0, 1] and strides[0] > 0
+    assert (perfect_hash.find_slots(digests, 2, strides, shifts) == slots).all()
+
+
+def test_exact_groups_of_copies_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(perfect_hash, "BUCKET_KEYS", 32)
+    rows = [(i, f"text {i % 150}") for i in range(1200)]
+    got = perfect_hash.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = collections.Counter((i, i % 150, 8) for i, _ in rows)
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+
+
 def test_lattice_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
