@@ -19,17 +19,38 @@ ROUNDS = 10
 
 #: One alternative per kind; look-arounds keep candidates from starting inside longer numbers.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Length of the IBANs of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_OF_COUNTRY = "(?:" + "|".join(
+    rf"(?:{of.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+    + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, of in IBAN_LENGTHS.items()
+) + ")(?![A-Za-z0-9])"
+#: Other countries, and lengths that are not those of the table: as far as it goes, see :func:`_iban_parts`.
+OTHER_IBAN = (
+    rf"[A-Z]{{2}}\d{{2}}(?: ?(?!{IBAN_OF_COUNTRY})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+)
+IBAN = f"(?:{IBAN_OF_COUNTRY}|{OTHER_IBAN})"
 KEY_ID = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 ASSIGNED = r"(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?[A-Za-z0-9]{12,64}"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d])"
 SSN = r"\d{3}-\d{2}-\d{4}(?![-\d])"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 PHONE = r"\+\d(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![-\d])"
-CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+#: Groups of digits up to the next value of another kind; the cards among them are told apart afterwards.
+RUN = rf"(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{DATE}|{SSN}|{IPV4}|\d{{3}}-\d{{3}}-\d{{4}}(?![-\d]))\d++)*+"
+#: The usual groupings of a card, and others in groups of four digits or more with a shorter rest.
+CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+OTHER_CARD = r"\d{4,}(?:[ -]\d{4,}){0,3}(?:[ -]\d+)?"
+CARD_GROUPS = 5
 CANDIDATE = (
     rf"(?<![A-Za-z0-9])(?:{EMAIL}|{IBAN}|{KEY_ID}|{ASSIGNED})"
-    rf"|(?<![\d.])(?:{DATE}|{SSN}|{IPV4}|{PHONE}|{CARD})"
+    rf"|(?<!\d)(?<!\d\.)(?:{DATE}|{SSN}|{IPV4}|{PHONE}|{RUN})"
 )
 #: A text without any of these holds no candidate.
 HINT = r"[0-9@]|AKIA|ASIA|password|passwd|token|secret|api_key"
@@ -345,9 +366,7 @@ def kind_of(value: Column) -> Column:
         .when(
             value.rlike("^[A-Z]{2}"),
             F.when(
-                mod97(F.concat(F.substring(F.replace(value, F.lit(" "), F.lit("")), F.lit(5), F.length(value)),
-                               F.substring(value, 1, 4))) == 1,
-                F.lit("iban"),
+                _is_iban(value), F.lit("iban"),
             ),
         )
         .when(
@@ -366,7 +385,102 @@ def kind_of(value: Column) -> Column:
         )
         .when(value.rlike(NANP) & ((n == 10) | value.startswith("+1")), F.lit("phone"))
         .when(value.startswith("+"), F.when((n >= 8) & (n <= 15) & ~value.startswith("+1"), F.lit("phone")))
-        .when((n >= 13) & (n <= 19), F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, F.lit("card")))
+        .when(_is_card(value), F.lit("card"))
+    )
+
+
+def _is_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return mod97(F.concat(F.substring(plain, F.lit(5), F.length(value)), F.substring(plain, 1, 4))) == 1
+
+
+def _is_card(value: Column) -> Column:
+    return F.when(
+        F.length(_digits_of(value)).between(13, 19), F.pmod(luhn_sum(_digits_of(value)), F.lit(10)) == 0
+    ).otherwise(F.lit(False))
+
+
+def _part(value: Column, kind: Column) -> Column:
+    return F.struct(value.alias("v"), kind.cast("string").alias("k"))
+
+
+def _iban_parts(value: Column) -> Column:
+    """The longest start of the groups that is an IBAN, and the rest; or the candidate as it is."""
+    ends = F.filter(
+        F.sequence(F.length(value), F.lit(15), F.lit(-1)),
+        lambda n: ((n == F.length(value)) | (F.substring(value, n + 1, F.lit(1)) == " "))
+        & _is_iban(F.substring(value, F.lit(1), n)),
+    )
+    return _let(
+        F.when(F.length(value) >= 15, F.try_element_at(ends, F.lit(1))),
+        lambda n: F.when(n.isNull(), F.array(_part(value, F.lit(None)))).otherwise(F.array(
+            _part(F.substring(value, F.lit(1), n), F.lit("iban")),
+            _part(F.substring(value, n + 1, F.length(value)), F.lit(None)),
+        )),
+    )
+
+
+def _card_parts(run: Column) -> Column:
+    """The cards in a run of digit groups and what lies between them, in order.
+
+    Usual groupings come first, then others, then the run as a whole; of those
+    that share a group the first and longest stays.
+    """
+
+    def text(groups: Column, a: Column, b: Column) -> Column:
+        return F.array_join(F.slice(groups, a + 1, b - a), "")
+
+    def spans(groups: Column) -> Column:
+        n = F.size(groups)
+        whole = F.struct(F.lit(2).alias("rank"), F.lit(0).alias("a"), (-n).alias("minus"), run.alias("v"))
+        near = F.flatten(F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda a: F.transform(
+                F.sequence(F.lit(1), F.least(n - a, F.lit(CARD_GROUPS))),
+                lambda k: _let(
+                    F.rtrim(text(groups, a, a + k), F.lit(" -")),
+                    lambda v: F.struct(
+                        F.when(v.rlike(f"^(?:{CARD})$"), 0).when(v.rlike(f"^(?:{OTHER_CARD})$"), 1).alias("rank"),
+                        a.alias("a"), (-k).alias("minus"), v.alias("v"),
+                    ),
+                ),
+            ),
+        ))
+        return F.array_sort(
+            F.filter(F.concat(near, F.array(whole)), lambda s: s["rank"].isNotNull() & _is_card(s["v"]))
+        )
+
+    def apart(found: Column) -> Column:
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        ends = F.transform(found, lambda s: F.struct(s["a"].alias("a"), (s["a"] - s["minus"]).alias("b")))
+        return F.array_sort(F.aggregate(
+            ends, none,
+            lambda held, s: F.when(
+                F.exists(held, lambda h: (s["a"] < h["b"]) & (h["a"] < s["b"])), held
+            ).otherwise(F.concat(held, F.array(s))),
+        ))
+
+    def cut(groups: Column, cards: Column) -> Column:
+        pairs = F.transform(cards, lambda c, i: F.array(
+            _part(text(groups, F.when(i == 0, 0).otherwise(F.get(cards, i - 1)["b"]), c["a"]), F.lit(None)),
+            _part(text(groups, c["a"], c["b"]), F.lit("card")),
+        ))
+        last = F.coalesce(F.try_element_at(cards, F.lit(-1))["b"], F.lit(0))
+        return F.concat(F.flatten(pairs), F.array(_part(text(groups, last, F.size(groups)), F.lit(None))))
+
+    return _let(
+        F.regexp_extract_all(run, F.lit(r"(\d+[ -]?)"), F.lit(1)),
+        lambda groups: _let(apart(spans(groups)), lambda cards: cut(groups, cards)),
+    )
+
+
+def parts_of(value: Column) -> Column:
+    """A candidate as parts (v, k) in order; k is the kind of a part that passes its validation, else null."""
+    run = value.rlike(r"^\d[\d -]*$") & (F.length(_digits_of(value)) >= 13)
+    return (
+        F.when(run, _card_parts(value))
+        .when(value.rlike(f"^{OTHER_IBAN}$") & ~value.rlike(f"^{IBAN_OF_COUNTRY}$"), _iban_parts(value))
+        .otherwise(F.array(_part(value, kind_of(value))))
     )
 
 
@@ -389,9 +503,12 @@ def pseudonymise_texts(docs: DataFrame, key: str, text: str = "text") -> DataFra
     replaced. The key must be kept secret and equal for texts to be linked.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(f"({CANDIDATE})"), F.lit(1))
-    values = F.transform(found, lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
     swapped = F.transform(
-        values, lambda x: F.struct(pseudonym(x["v"], x["k"], key).alias("v"), x["k"].alias("k"))
+        F.transform(found, parts_of),
+        lambda parts: _let(
+            F.transform(parts, lambda x: F.struct(pseudonym(x["v"], x["k"], key).alias("v"), x["k"].alias("k"))),
+            lambda new: F.struct(F.array_join(new["v"], "").alias("v"), new["k"].alias("k")),
+        ),
     )
     # The candidates are bound once for the text and the counts.
     inner = F.col("_found")
@@ -399,7 +516,7 @@ def pseudonymise_texts(docs: DataFrame, key: str, text: str = "text") -> DataFra
     joined = F.array_join(
         F.zip_with(gaps, inner, lambda g, x: F.concat(g, F.coalesce(x["v"], F.lit("")))), ""
     )
-    kinds = F.transform(inner, lambda x: x["k"])
+    kinds = F.flatten(inner["k"])
     counts = {
         f"n_{k}": F.when(inner.isNull(), F.lit(0)).otherwise(F.size(kinds) - F.size(F.array_remove(kinds, k)))
         for k in KINDS

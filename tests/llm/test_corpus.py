@@ -101,6 +101,31 @@ def test_pseudonyms_keep_formats_and_links(spark, empty):
     assert pseudonyms.pseudonymise_texts(empty, "k").count() == 0
 
 
+def test_pseudonyms_of_neighbouring_values(spark):
+    card, other, iban = "4111 1111 1111 1111", "5500-0055-5555-5559", "DE89 3704 0044 0532 0130 00"
+    clear = {
+        1: ("7536784127813050 4845168114407329", ["7536784127813050", "4845168114407329"], 2),
+        2: (f"{card} 12/26", [card], 1), 3: (f"{card} {other} 123", [card, other], 2),
+        4: (f"order 12 {card}", [card], 1), 5: ("see 3782 822463 10005 07", ["3782 822463 10005"], 1),
+        6: (f"{card} 123-45-6789", [card, "123-45-6789"], 1), 7: (f"{card} 10.0.0.1", [card, "10.0.0.1"], 1),
+        8: (f"Paid.{card}, done", [card], 1), 9: ("1 " * 3000, [], None), 10: ("4111 111 111 111 111", ["4111 111 111 111 111"], 1),
+        11: (f"{iban} BANK", [iban], 0), 12: (f"{iban} {card}", [iban, card], 1),
+        13: ("BE68 5390 0754 7034 ABCD", ["BE68 5390 0754 7034"], 0),
+        14: ("ZZ65 1234 5678 9012 WORD", ["ZZ65 1234 5678 9012"], 0),
+        15: ("6304000000000000001 0.4111111111111111", [], 0),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in clear.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudonyms.pseudonymise_texts(df, "k").collect()}
+    for i, (text, gone, cards) in clear.items():
+        assert not [v for v in gone if v in out[i].text] and (i == 7 or len(out[i].text) == len(text))
+        assert cards is None or out[i].n_card == cards
+        assert gone or i == 9 or out[i].text == text
+    assert out[2].text.endswith(" 12/26") and out[3].text.endswith(" 123") and out[4].text.startswith("order 12 ")
+    assert [out[i].n_iban for i in (11, 12, 13, 14)] == [1] * 4
+    assert out[11].text.endswith(" BANK") and out[13].text.endswith(" ABCD") and out[14].text.endswith(" WORD")
+    assert (out[6].n_ssn, out[7].n_ip) == (1, 1)
+
+
 def test_feistel_is_a_permutation_with_an_inverse(spark):
     n = spark.range(500).select("id", pseudonyms.feistel(F.col("id"), F.lit(20), F.lit(25), "k", "t").alias("x"))
     back = n.withColumn("y", pseudonyms.feistel(F.col("x"), F.lit(20), F.lit(25), "k", "t", inverse=True)).collect()
