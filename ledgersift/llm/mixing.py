@@ -3,7 +3,8 @@
 The words of each source form one long run that is cut into blocks of equal
 length. The mix consists of slots: slot ``k`` of a source takes, in epoch
 ``k div B``, the block that a keyed permutation of 0 .. B-1 gives for
-``k mod B``. Each slot draws its output shard by a keyed hash, so the source
+``k mod B``. The last slot is cut to the words that are still missing, so that a
+source gives its target to the word, however small it is. Each slot draws its output shard by a keyed hash, so the source
 counts of a shard are multinomial, given the totals that the targets fix.
 Slots and blocks meet in an equi-join by (source, block).
 
@@ -90,51 +91,77 @@ def place_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def permuted(index: Column, size: Column, tag: Column, rounds: int = 24) -> Column:
+def permuted(index: Column, size: Column, tag: Column, rounds: int = 24, inverse: bool = False) -> Column:
     """A keyed permutation of 0 .. size-1 for any size (swap or not, round by round)."""
+    turns = F.sequence(F.lit(rounds - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(rounds - 1))
 
     def turn(x: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), tag, r), size) - x, size)
         top = F.greatest(x, partner)
         return F.when(F.pmod(F.xxhash64(F.lit(SEED + 1), tag, r, top), F.lit(2)) == 1, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), index.cast("bigint"), turn)
+    return F.aggregate(turns, index.cast("bigint"), turn)
 
 
 def mix_slots(targets: DataFrame, shards: int = 64, block: int = BLOCK_WORDS, limit: int = REPEATS) -> DataFrame:
-    """The mix as slots (sid, k, epoch, block, shard); at most ``limit`` epochs of each source."""
+    """The mix as slots (sid, k, epoch, block, take, shard); at most ``limit`` epochs of each source.
+
+    ``take`` words are taken from the start of the block: all of them but in a source's last slot.
+    """
     blocks = F.ceil(F.col("source_size") / block).cast("bigint")
-    full = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(limit)).cast("bigint")
-    rest = F.col("target") - full * F.col("source_size")
-    mean = F.col("source_size") / blocks
+    goal = F.least(F.round("target").cast("bigint"), F.col("source_size") * limit)
+    # The last block of a run is shorter; ``_at`` is its place among the slots of the epoch that is not full.
     counts = (
         targets.where(F.col("source_size") > 0)
         .withColumn("_blocks", blocks)
-        .withColumn("_slots", F.least(full * blocks + F.round(rest / mean), blocks * limit).cast("bigint"))
+        .withColumn("_goal", goal)
+        .withColumn("_full", F.call_function("div", F.col("_goal"), F.col("source_size")))
+        .withColumn("_rest", F.col("_goal") - F.col("_full") * F.col("source_size"))
+        .withColumn("_gap", F.col("_blocks") * block - F.col("source_size"))
+        .withColumn(
+            "_at", permuted(F.col("_blocks") - 1, F.col("_blocks"), _epoch_tag(F.col("_full")), inverse=True)
+        )
+        .withColumn("_late", F.when(F.col("_rest") > F.col("_at") * block, F.col("_gap")).otherwise(0))
+        .withColumn(
+            "_slots",
+            F.col("_full") * F.col("_blocks") + F.ceil((F.col("_rest") + F.col("_late")) / block).cast("bigint"),
+        )
         .where(F.col("_slots") > 0)
     )
+    given = ("_blocks", "_slots", "_full", "_rest", "_gap", "_at", "source_size")
     runs = counts.select(
-        "sid", "_blocks", "_slots",
+        "sid", *given,
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_slots") - 1) / SLOT_RUN).cast("bigint"))).alias("_run"),
     )
     runs = runs.repartition("sid", "_run")
     slots = runs.select(
-        "sid", "_blocks",
+        "sid", *given,
         F.explode(
             F.sequence(F.col("_run") * SLOT_RUN, F.least((F.col("_run") + 1) * SLOT_RUN, F.col("_slots")) - 1)
         ).alias("k"),
     )
     epoch = F.call_function("div", F.col("k"), F.col("_blocks"))
-    tag = F.struct(F.col("sid"), epoch)
-    return slots.select(
-        "sid", "k", epoch.alias("epoch"),
-        permuted(F.pmod(F.col("k"), F.col("_blocks")), F.col("_blocks"), F.xxhash64(tag)).alias("block"),
+    place = F.pmod(F.col("k"), F.col("_blocks"))
+    before = place * block - F.when(place > F.col("_at"), F.col("_gap")).otherwise(0)
+    size = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    words = F.when(F.col("epoch") < F.col("_full"), size).otherwise(F.least(size, F.col("_rest") - before))
+    return slots.withColumn("epoch", epoch).withColumn(
+        "block", permuted(place, F.col("_blocks"), _epoch_tag(F.col("epoch")))
+    ).select(
+        "sid", "k", "epoch", "block", words.cast("bigint").alias("take"),
         F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "k"), F.lit(shards)).alias("shard"),
     )
 
 
+def _epoch_tag(epoch: Column) -> Column:
+    return F.xxhash64(F.struct(F.col("sid"), epoch))
+
+
 def block_pieces(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """The blocks as pieces of documents: (sid, block, start, first, words), ``first`` counted inside the document."""
+    """The blocks as pieces of documents: (sid, block, start, first, words, offset).
+
+    ``first`` is counted inside the document, ``offset`` inside the block.
+    """
     end = F.col("start") + F.col("size")
     parts = placed.where(F.col("size") > 0).select(
         "sid", "start", "size",
@@ -144,7 +171,15 @@ def block_pieces(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     )
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return parts.select("sid", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"))
+    return parts.select(
+        "sid", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"),
+        (low - F.col("block") * block).alias("offset"),
+    )
+
+
+def _within(words: Column, offset: Column, take: Column) -> Column:
+    """The words of a piece that lie in the first ``take`` words of its block."""
+    return F.greatest(F.least(words, take - offset), F.lit(0))
 
 
 def plan(docs: DataFrame, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -164,10 +199,13 @@ def taken_words(docs: DataFrame) -> DataFrame:
     """
     sized, targets = plan(docs.select("doc_id", "text", "source"))
     placed = place_documents(sized.drop("text"), targets)
-    used = mix_slots(targets).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    used = mix_slots(targets).groupBy("sid", "block").agg(F.collect_list("take").alias("takes"))
+    here = F.aggregate(
+        "takes", F.lit(0).cast("bigint"), lambda a, t: a + _within(F.col("words"), F.col("offset"), t)
+    )
     taken = (
         block_pieces(placed).join(used.hint("merge"), ["sid", "block"])
-        .groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        .groupBy("sid", "start").agg(F.sum(here).alias("taken"))
     )
     # An empty document shares its start with its successor but takes nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
@@ -193,6 +231,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     bounds = sized.select("doc_id", "source", "size")
     taken = (
         block_pieces(place_documents(bounds, targets)).join(mix_slots(targets).hint("merge"), ["sid", "block"])
+        .withColumn("words", _within(F.col("words"), F.col("offset"), F.col("take"))).where(F.col("words") > 0)
         .groupBy("sid", "start", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
     )

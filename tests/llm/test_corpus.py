@@ -214,6 +214,24 @@ def test_mixing(docs, rows, empty):
     assert mixing.taken_words(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_small_sources_get_their_targets(spark):
+    rows = [(i * 4 + j, "w " * (25 + (j % 2) * 2 * (i % 5)), f"s{i:03d}") for i in range(60) for j in range(4)]
+    rows += [(10_000 + j, "long text " * 300, "z") for j in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source, size = {r[0]: r[2] for r in rows}, {r[0]: len(r[1].split()) for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in mixing.taken_words(df).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert r.taken <= 3 * r.size
+    assert len(target) == 61 and all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+    mixed = collections.Counter()
+    for r in mixing.mix_documents(df).collect():
+        mixed[r.source] += len(r.text.split())
+        assert len(r.text.split()) <= size[r.doc_id]
+    assert mixed == taken
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 90)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
