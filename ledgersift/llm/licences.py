@@ -7,6 +7,10 @@ licences: the whole text against whole licences, each line against notices.
 
 from __future__ import annotations
 
+import itertools
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +67,27 @@ KNOWN = {
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0."],
 }
 
+#: Whole texts and headers, in files named after the licence and, parted by "~", the variant.
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
+#: What may stand above a whole text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+WHOLE_CHARS = 400
+
 MAX_KNOWN = 5000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)(?:[^a-z\n][^\n]*)?$"
+#: Where a line goes on after its copyright statement.
+GOES_ON = (
+    r"\b(?:permission (?:is|to)|licen[cs]ed under|released under|redistribution and use|everyone is permitted"
+    r"|this (?:work|program|library|software|file|source code)) "
+)
+COPYRIGHT = (
+    rf"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)(?=[^a-z\n]|$)(?:(?!{GOES_ON})[^\n])*+"
+    r"|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+)
 GAPS = r"[^a-z0-9\x80-\x{10FFFF}]+"
 
 
@@ -88,8 +110,27 @@ def spelled(text: Column) -> Column:
     return F.when(text.rlike(hint), F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))).otherwise(text)
 
 
-def known_licences(spark: SparkSession, known: dict[str, list[str]] = KNOWN) -> DataFrame:
-    """(licence, digest, size) of the known texts, one row per distinct canonical text."""
+def known_texts() -> dict[str, list[str]]:
+    """:data:`KNOWN` and the files of :data:`TEXTS`; whole texts also under a title and without what follows the terms."""
+    known = {n: list(texts) for n, texts in KNOWN.items()}
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms, end, rest = text.partition(TERMS_END)
+        forms = [text] + [terms + end, terms] * bool(rest)
+        if file.stem.startswith("BSD"):  # conditions come with bullets or numbers
+            number = itertools.count(1)
+            forms += [re.sub(r"(?m)^\s*(?:\*|\d\.) ", lambda _: f"{next(number)}. ", text),
+                      re.sub(r"(?m)^\s*(?:\*|\d\.) ", "", text)]
+        known.setdefault(file.stem.split("~")[0], []).extend(forms)
+    return {
+        n: texts + [f"{title}\n{t}" for t in texts if len(t) > WHOLE_CHARS for title in TITLES.get(n, [])]
+        for n, texts in known.items()
+    }
+
+
+def known_licences(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
+    """(licence, digest, size) of the known texts (default: :func:`known_texts`), one row per distinct canonical text."""
+    known = known_texts() if known is None else known
     rows = F.array(
         *[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, texts in known.items() for t in texts]
     )

@@ -347,6 +347,22 @@ def test_licences(spark, empty):
     assert licences.scan_licences(empty, licences.known_licences(spark)).count() == 0
 
 
+def test_whole_licences_and_lines_that_go_on(spark):
+    mit = licences.KNOWN["MIT"][2]
+    ids = ["Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0"]
+    rows = [(i, (licences.TEXTS / f"{n}.txt").read_text()) for i, n in enumerate(ids)]
+    rows += [(20, f"Copyright (c) 2020 A. {mit}"), (21, "Copyright 2020 A. Released under the MIT License."),
+             (22, "Copyright (c) 2020, B Inc. All rights reserved."), (23, f"MIT License\n\nCopyright (c) 2021 C\n\n{mit}"),
+             (24, "BSD 3-Clause License\n\nCopyright (c) 2021, D\nAll rights reserved.\n\n" + rows[7][1])]
+    numbers = iter("12")
+    rows += [(25, re.sub(r"(?m)^ +\*", lambda _: f"{next(numbers)}.", rows[6][1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(df, licences.known_licences(spark)).collect()}
+    assert [got[i].licence for i in range(len(ids))] == ids and got[25].licence == "BSD-2-Clause"
+    assert [got[i].licence for i in (20, 21, 22, 23, 24)] == ["MIT", "MIT", None, "MIT", "BSD-3-Clause"]
+    assert got[21].notices == ["MIT"] and got[22].notices == []
+
+
 @pytest.mark.parametrize("words, percent, block", [(3, 90, 1000), (5, 80, 3), (1, 50, 1000)])
 def test_similar_groups(docs, rows, words, percent, block):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
