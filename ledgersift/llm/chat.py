@@ -70,13 +70,22 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
+def shown_type(kind: Column) -> Column:
+    """A part's type as it may stand in a placeholder: it can neither end one nor be a mark of turns."""
+    plain = F.regexp_replace(F.coalesce(kind, F.lit("unknown")), r"[^\p{L}\p{N}_]", "_")
+    return F.when(plain.rlike("^im_"), F.concat(F.lit("part_"), plain)).otherwise(plain)
+
+
 def flatten_parts(parts: Column) -> Column:
-    """The visitor: text escaped, other parts as ``<|type|>`` placeholders, in order, as one string."""
+    """The visitor: text escaped, other parts as ``<|type|>`` placeholders, in order, as one string.
+
+    A type shows letters, digits and ``_`` of its name only, and stands after ``part_`` if it then reads as a control word.
+    """
     return F.array_join(
         F.transform(
             F.coalesce(parts, F.array().cast(f"array<{PART}>")),
             lambda p: F.when(p["type"] == "text", F.coalesce(escape(p["text"]), F.lit("")))
-            .otherwise(F.concat(F.lit("<|"), F.coalesce(p["type"], F.lit("unknown")), F.lit("|>"))),
+            .otherwise(F.concat(F.lit("<|"), shown_type(p["type"]), F.lit("|>"))),
         ),
         "",
     )

@@ -25,21 +25,21 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             edges.select(F.col("v").alias("n"), F.col("u").alias("m"))
         )
         low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = (
-            both.join(low, "n").where(F.col("m") > F.col("n"))
-            .select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
-        )
+        # What repeats here is gone after the one distinct below.
+        large = both.join(low, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("low").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = (
             large.join(least, "u").where(F.col("v") > F.col("low"))
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
         )
         edges = materialize(small.union(least.select("u", F.col("low").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
-        if state["n"] == state["u"]:
-            inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-            if inner.limit(1).count() == 0:
-                break
+        # Settled: every node has one smaller neighbour or is one, never both.
+        ends = edges.select(F.explode(F.array(
+            F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+            F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+        )).alias("end")).groupBy("end.n").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
+        if not ends.where("up > 1 or (up > 0 and down > 0)").limit(1).count():
+            break
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -67,7 +67,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if len(starts):
         ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        ids.append(span_hash(prefix_sums(raw), starts, ends))
+        ids.append(span_hash(prefix_sums(raw), starts, ends, raw))
         of.append(owner[starts])
     if not ids:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -105,18 +105,20 @@ def train(texts: list[bytes], labels: np.ndarray) -> QualityModel:
     offset = np.array([0.0, bias], np.float32)
     if len(set(labels.tolist())) < 2:
         return QualityModel(np.zeros(BUCKETS), bias)
-    docs = []
-    for text in texts:
-        ids, _ = features([text])
-        docs.append(np.unique(ids, return_counts=True))
+    # Few bytes per distinct feature, in two arrays: this stands in the driver's memory.
+    found = (np.unique(features([text])[0], return_counts=True) for text in texts)
+    pairs = [(ids.astype(np.uint16), n.astype(np.uint32)) for ids, n in found]
+    edges = np.cumsum([0] + [len(ids) for ids, _ in pairs])
+    held, times = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    del pairs
     # The rarer class weighs more, so that both count alike.
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
-    step, steps = 0, EPOCHS * len(docs)
+    step, steps = 0, EPOCHS * len(texts)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(texts)):
             lr = RATE * (1 - step / steps)
             step += 1
-            ids, n = docs[i]
+            ids, n = held[edges[i]:edges[i + 1]], times[edges[i]:edges[i + 1]]
             if not len(ids):
                 continue
             share = (n / n.sum()).astype(np.float32)
@@ -156,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
         .where((F.col("place") <= rows) & (F.col("chars") <= SAMPLE_CHARS))
         .orderBy("place").select("text", "quality").toArrow()
     )
-    texts = [t.encode() for t in sample.column("text").to_pylist()]
-    return train(texts, np.array(sample.column("quality").to_pylist(), np.int64))
+    labels = np.array(sample.column("quality").to_pylist(), np.int64)
+    texts = [t.as_py().encode() for t in sample.column("text")]
+    del sample
+    return train(texts, labels)
 
 
 def held_out(doc_id: Column) -> Column:

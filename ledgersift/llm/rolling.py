@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Sums modulo 2**64 can be fooled by regular strings, the shortest of which have over a thousand bytes.
+LONG_SPAN = 256
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,10 +40,17 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts:ends]; equal spans of equal length have equal hashes."""
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hashes of data[starts:ends]; equal spans of equal length have equal hashes.
+
+    Spans of LONG_SPAN bytes and more have the first bytes of a digest of their bytes.
+    """
     _, inverse = _table(len(sums))
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    found = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        found[i] = int.from_bytes(digest, "little")
+    return found
 
 
 def window_hash(sums: np.ndarray, width: int) -> np.ndarray:

@@ -62,7 +62,7 @@ class Parsed:
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
         last = self.offsets[owner[starts] + 1] if len(starts) else starts
-        self.words = span_hash(self.sums, starts, np.minimum(ends + width - 1, last))
+        self.words = span_hash(self.sums, starts, np.minimum(ends + width - 1, last), data)
         self.word_doc = ids[owner[starts]] if len(starts) else np.zeros(0, np.int64)
         self.width = width
 
