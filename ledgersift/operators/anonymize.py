@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from ledgersift.operators.skew import attach, largest_group, number_rows
 from ledgersift.session import materialize
 
 ORDER = ["updated_at", "id"]
-BILLING = "treasury_account_id string, method string, address_id string"
 # Prefixes, the neutral metadata document and the shape of internal method ids.
 PREFIXES = {"company_id": "COMP", "user_id": "USR", "shop_id": "SHOP", "supplier_id": "SUPP"}
 METADATA = '{"note": null, "matchingMediaIds": []}'
@@ -66,29 +67,40 @@ def pseudonymize(
 
 
 def _parsed(column: str) -> Column:
+    """A billing object as a map of its keys, in their order, to values of any type; null for anything else."""
     plain = F.replace(F.replace(F.col(column), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     valid = F.get_json_object(plain, "$").startswith("{")
-    return F.when(valid, F.from_json(plain, BILLING))
+    return F.when(valid, F.from_json(plain, "map<string,variant>"))
+
+
+def _text(document: str, key: str) -> Column:
+    """A field as text; null when absent, null or empty."""
+    value = F.try_variant_get(F.try_element_at(F.col(document), F.lit(key)), "$", "string")
+    return F.when(value != "", value)
+
+
+def _quoted(text: Column) -> Column:
+    return F.parse_json(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def sanitize_billing(
     df: DataFrame,
+    named_methods: tuple[str, ...],
     order: list[str] = ORDER,
-    named_methods: tuple[str, ...] = (),
     replacement: str = "Corporate account",
     cfg: AuditConfig = DEFAULT,
 ) -> DataFrame:
     """Billing documents with pseudonymous accounts and methods and without address.
 
-    ``named_methods`` lists words that identify a person or firm inside a
-    payment method. What is not a JSON object becomes null.
+    ``named_methods`` lists words that identify a person or firm inside a payment
+    method; there is no default, since only the owner of the data knows them. All
+    other keys stay as they are. What is not a JSON object becomes null.
     """
-    parsed = df.withColumn("_b", _parsed("billing")).withColumns(
-        {
-            "_account": F.col("_b.treasury_account_id"),
-            "_method": F.when(F.lower("_b.method").rlike(METHOD_ID), F.col("_b.method")),
-        }
-    )
+    # The documents are parsed and written once; the steps below read them.
+    parsed = materialize(df.withColumn("_b", F.to_json(_parsed("billing"))))
+    parsed = parsed.withColumn("_b", F.from_json("_b", "map<string,variant>")).withColumns(
+        {"_account": _text("_b", "treasury_account_id"), "_plain": _text("_b", "method")}
+    ).withColumn("_method", F.when(F.lower("_plain").rlike(METHOD_ID), F.col("_plain")))
     out = replace_by_alias(
         parsed, "_account", pseudonyms(parsed, "_account", "ACC", order, cfg), True, cfg
     )
@@ -97,20 +109,19 @@ def sanitize_billing(
     )
     named = F.lit(False)
     for word in named_methods:
-        named = named | F.lower("_b.method").contains(word.lower())
-    method = F.when(named, F.lit(replacement)).otherwise(
-        F.coalesce(F.col("_method"), F.col("_b.method"))
+        named = named | F.lower("_plain").contains(word.lower())
+    method = F.when(named, F.parse_json(F.lit(json.dumps(replacement)))).when(
+        F.col("_method").isNotNull(), _quoted(F.col("_method"))
     )
-    document = F.to_json(
-        F.struct(
-            F.col("_account").alias("treasury_account_id"),
-            method.alias("method"),
-            F.lit(None).cast("string").alias("address_id"),
-        ),
-        {"ignoreNullFields": "false"},
+    edited = F.transform_values(
+        F.map_filter("_b", lambda key, _: key != "address_id"),
+        lambda key, value: F.when(
+            (key == "treasury_account_id") & F.col("_account").isNotNull(), _quoted(F.col("_account"))
+        ).when((key == "method") & method.isNotNull(), method).otherwise(value),
     )
+    document = F.to_json(F.map_concat(edited, F.create_map(F.lit("address_id"), F.parse_json(F.lit("null")))))
     return out.withColumn("billing", F.when(F.col("_b").isNotNull(), document)).drop(
-        "_b", "_account", "_method"
+        "_b", "_account", "_method", "_plain"
     )
 
 
@@ -133,6 +144,6 @@ def anonymize(
     named_methods: tuple[str, ...] = (),
     cfg: AuditConfig = DEFAULT,
 ) -> DataFrame:
-    """The full job: billing, pseudonyms, documents and dates."""
-    safe = materialize(sanitize_billing(df, order, named_methods, cfg=cfg))
+    """The full job: billing, pseudonyms, documents and dates. ``named_methods`` as in :func:`sanitize_billing`."""
+    safe = materialize(sanitize_billing(df, named_methods, order, cfg=cfg))
     return shift_dates(blank_documents(pseudonymize(safe, order, cfg)), days)

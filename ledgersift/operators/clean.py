@@ -11,7 +11,7 @@ from ledgersift.config import LEDGER_COLUMNS, SOURCE_FIXES
 from ledgersift.functions.scalar import literal_map
 
 
-def _ingest_order(df: DataFrame, order: list[str] | None) -> list[Column]:
+def arrival_order(df: DataFrame, order: list[str] | None) -> list[Column]:
     """Arrival order of raw rows; a content hash settles what the timestamps leave open."""
     known = [F.col(c) for c in (order or ["updated_at", "created_at"])]
     return [*known, F.xxhash64(*sorted(df.columns))]
@@ -23,7 +23,7 @@ def keep_first(df: DataFrame, key: str, order: list[str] | None = None) -> DataF
     The rank filter is pushed below the shuffle (a per-task top 1), so a group
     of copies of any size sends one row per task.
     """
-    w = Window.partitionBy(key).orderBy(*_ingest_order(df, order))
+    w = Window.partitionBy(key).orderBy(*arrival_order(df, order))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -60,7 +60,7 @@ def attrition(df: DataFrame) -> DataFrame:
         # The row that survives de-duplication decides whether the id is retained.
         F.min_by(
             F.struct("amount", "created_at"),
-            F.when(F.col("deleted_at").isNull(), F.struct(*_ingest_order(df, None))),
+            F.when(F.col("deleted_at").isNull(), F.struct(*arrival_order(df, None))),
         ).alias("first"),
         F.count_if(F.col("deleted_at").isNull()).alias("live"),
     )

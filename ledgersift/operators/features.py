@@ -24,8 +24,8 @@ def outside_fence(value: Column, q1: Column, q3: Column, factor: float) -> Colum
 
 
 def _most_common(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Most frequent value per user, ties to the smallest, by counting before ranking."""
-    counts = df.groupBy("user_id", value).agg(F.count(F.lit(1)).alias("_n"))
+    """Most frequent value per user, ties to the smallest, by counting before ranking; nulls do not count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy("user_id", value).agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy("user_id").agg(
         F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(name)
     )
@@ -59,7 +59,7 @@ def user_statistics(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
         _most_common(own, "source", "user_typical_source"),
         _most_common(own, "expense_type", "user_typical_expense_type"),
     ):
-        stats = stats.join(extra, "user_id")
+        stats = stats.join(extra, "user_id", "left")
     return stats
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ledgersift.session import materialize
 
 # Two values whose ln(1+x) fall into one band of this width differ by less than
 # 1 %, and values within 1 % are at most two bands apart.
-BAND = 0.0099
+BAND_SHARE = 0.99  # of the tolerance: two rows of one band always match
 # Two-sided 10 % critical points of Spearman's rho for n = 5, 6
 # (t distribution, n-2 degrees of freedom); from n = 7 on they lie below 0.70.
 RHO_CRITICAL = {5: 0.80538, 6: 0.72930}
@@ -51,19 +53,21 @@ def near_duplicates(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     row per nearby band: the next one to come. Candidates grow with the rows, not
     with pairs of rows. Returns (id, fraud_duplicate_score) for rows that match.
     """
-    if cfg.duplicate_tolerance != 0.01:
-        raise ValueError("the amount bands are made for a tolerance of 1 %")
+    tolerance = cfg.duplicate_tolerance
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance must lie between 0 and 1")
+    # exp(width) - 1 stays below the tolerance; a match lies within reach of the logarithm.
+    width, reach = BAND_SHARE * math.log1p(tolerance), -math.log1p(-tolerance) * 1.0009
     span = cfg.duplicate_hours * HOUR_US
     log = F.log1p("amount")
     rows = _narrow(df).where(F.col("user_id").isNotNull()).drop("supplier_id")
-    band = F.floor(log / BAND)
-    # Only bands that a value within 1 % can fall into (0.01006 > -ln 0.99).
-    near = F.sequence(F.floor((log - 0.01006) / BAND), F.floor((log + 0.01006) / BAND))
+    band = F.floor(log / width)
+    near = F.sequence(F.floor((log - reach) / width), F.floor((log + reach) / width))
     spread = rows.withColumns({"_home": band, "_band": F.explode(near)})
 
     keys = ["user_id", "_band"]
-    # The spread is at most fivefold; home bands are a lower bound on group sizes.
-    crowded = largest_group(rows, ["user_id", band]) * 5
+    # Home bands are a lower bound on group sizes; each row comes to so many bands at most.
+    crowded = largest_group(rows, ["user_id", band]) * (2 + math.ceil(2 * reach / width))
     if crowded <= cfg.limits.group_rows:
         laid = spread.withColumn(SLICE, F.lit(0))
     else:
@@ -90,7 +94,7 @@ def near_duplicates(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
             "_next", F.coalesce("_next", "_later")
         )
     nxt = F.col("_next")
-    alike = F.abs(nxt["amount"] - F.col("amount")) / (nxt["amount"] + 1) < cfg.duplicate_tolerance
+    alike = F.abs(nxt["amount"] - F.col("amount")) / (nxt["amount"] + 1) < tolerance
     recent = F.col("_us") >= nxt["_us"] - F.lit(span)
     hours = F.min(nxt["_us"] - F.col("_us")) / F.lit(float(HOUR_US))
     return (

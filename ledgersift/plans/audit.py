@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgersift.config import DEFAULT, MATRIX_COLUMNS, AuditConfig
-from ledgersift.operators.clean import clean, normalize, validate_input
+from ledgersift.operators.clean import arrival_order, clean, normalize, validate_input
 from ledgersift.operators.density import DensityModel, fit_density
 from ledgersift.operators.ensemble import decide, result
 from ledgersift.operators.features import enrich
@@ -168,6 +169,24 @@ def split_new(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def split_scorable(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to score, refused rows with the reason): together every arrival, once each.
+
+    Besides what :func:`split_new` rejects, cleaning would lose deleted rows and all
+    but the first to arrive of the rows with one id; they are refused here.
+    """
+    accepted, rejected = split_new(new)
+    refused = [rejected]
+    if "deleted_at" in accepted.columns:
+        refused.append(accepted.where(F.col("deleted_at").isNotNull()).withColumn("rejected", F.lit("deleted")))
+        accepted = accepted.where(F.col("deleted_at").isNull())
+    times = [c for c in ("updated_at", "created_at") if c in accepted.columns]
+    first = Window.partitionBy("id").orderBy(*arrival_order(accepted, times))
+    ranked = accepted.withColumn("_place", F.row_number().over(first))
+    refused.append(ranked.where("_place > 1").drop("_place").withColumn("rejected", F.lit("id repeated")))
+    return ranked.where("_place = 1").drop("_place"), reduce(DataFrame.unionByName, refused)
+
+
 def score_new(
     history: DataFrame,
     new: DataFrame,
@@ -179,7 +198,7 @@ def score_new(
     Features are taken over history and new rows together; the detectors only
     know history. Flags follow the online decision.
     """
-    accepted, rejected = split_new(new)
+    accepted, rejected = split_scorable(new)
     tagged = with_history(history, accepted)
     base = staged_ledger(tagged)
     feats = materialize(featured(base, cfg))

@@ -19,6 +19,13 @@ from ledgersift.sources.fixture import LEDGER_EXPRESSIONS
 DAY = 86400000000
 
 
+_texts = "'D_' || CAST(doc_id AS varchar) AS id, n_chars::double AS amount, sha256(text) AS text_sha256"
+_strange = (
+    "'; INSERT INTO expenses (x) VALUES (' || chr(39) || lang || chr(39) || ');' || chr(10) || ' -- it' || chr(39) || 's'"
+    " || chr(92) || ' '"
+)
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -456,6 +463,19 @@ SQL: dict[str, str] = {
       FROM raw WHERE deleted_at IS NULL AND amount > 0 GROUP BY 1, 2""",
     "sql_dump_roundtrip": """SELECT id, user_id, supplier_id, amount, currency, date_trunc('second', created_at) AS created_at,
       date_trunc('second', deleted_at) AS deleted_at, billing, '{"note": "it''s \\\\ fine, ok"}' AS metadata, 1::bigint AS state FROM raw""",
+    "sql_dump_hard_roundtrip": f"SELECT {_texts}, source AS company_id, {_strange} AS metadata FROM documents",
+    "csv_hard_roundtrip": f"SELECT {_texts}, '  ' || chr(9) || {_strange} || '  ' AS metadata FROM documents",
+    "sql_dump_rejects": """SELECT sha256(coalesce(text, '')) AS text_sha256, '{"k": {"z": [1, "it''s)"]}}' AS metadata, count(*) AS n, 3 AS found
+      FROM documents WHERE lang = 'en' GROUP BY 1
+      UNION ALL SELECT NULL, NULL, count(*), 4 FROM documents WHERE lang <> 'en' OR lang IS NULL HAVING count(*) > 0
+      UNION ALL SELECT NULL, NULL, count(*), 1 FROM documents HAVING count(*) > 0""",
+    "score_new_rejected": """SELECT id, updated_at, coalesce(reason, 'id repeated') AS rejected FROM (
+      SELECT *, CASE WHEN id IS NULL THEN 'id missing' WHEN company_id IS NULL THEN 'company_id missing' WHEN amount IS NULL THEN 'amount missing'
+      WHEN amount <= 0 THEN 'amount not positive' WHEN created_at IS NULL THEN 'created_at missing' WHEN deleted_at IS NOT NULL THEN 'deleted' END AS reason
+      FROM (SELECT * REPLACE (CASE WHEN event_id % 400 = 39 THEN 'EXP_' || lpad(CAST(event_id - 1 AS varchar), 7, '0') ELSE id END AS id,
+        updated_at + CASE WHEN late THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS updated_at)
+        FROM raw CROSS JOIN (SELECT false AS late UNION ALL SELECT true) WHERE event_id % 40 = 39))
+      QUALIFY reason IS NOT NULL OR row_number() OVER (PARTITION BY id, reason IS NULL ORDER BY updated_at, created_at) > 1""",
     "csv_roundtrip": """SELECT id, amount, created_at, '{"note": "it''s \\\\ fine, ok"}' AS metadata, 1::bigint AS state FROM raw""",
     "json_roundtrip": "SELECT id, amount, created_at, user_id FROM raw",
     "parquet_roundtrip": "SELECT id, amount, created_at, 1::bigint AS state FROM raw",

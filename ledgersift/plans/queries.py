@@ -628,6 +628,14 @@ def _split_arrivals(spark, d):
     return history, new
 
 
+@query
+def score_new_rejected(spark, d):
+    """Every arrival that cannot be scored, with the reason: repeated ids and deleted rows included."""
+    _, new = _split_arrivals(spark, d)
+    twice = new.unionByName(new.withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 1 HOUR")))
+    return pipeline.split_scorable(twice)[1].select("id", "updated_at", "rejected")
+
+
 @query
 def union_new_history(spark, d):
     history, new = _split_arrivals(spark, d)
@@ -648,7 +656,7 @@ def pseudonymize(spark, d):
 @query
 def billing_sanitize(spark, d):
     raw = raw_ledger(spark, d)
-    out = privacy.sanitize_billing(raw, named_methods=("cash",))
+    out = privacy.sanitize_billing(raw, ("cash",))
     return out.select("id", "updated_at", "billing")
 
 
@@ -689,6 +697,53 @@ def sql_dump_roundtrip(spark, d):
     )
 
 
+def _texts_as_ledger(spark, d):
+    """All documents as ledger rows whose documents are their whole texts."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(
+        F.concat(F.lit("D_"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("company_id"),
+        F.col("n_chars").cast("double").alias("amount"), F.col("text").alias("billing"),
+        F.concat(F.lit("; INSERT INTO expenses (x) VALUES ('"), F.col("lang"), F.lit("');\n -- it's\\ ")).alias("metadata"),
+    )
+
+
+@query
+def sql_dump_hard_roundtrip(spark, d):
+    """Whole texts, and strings that look like statements, through a dump and back."""
+    path = f"{shared_folder(spark)}/ledgersift/dump-{uuid.uuid4().hex}"
+    write_dump(_texts_as_ledger(spark, d), path)
+    rows, _ = read_dump(spark, path)
+    return rows.select("id", "company_id", "amount", F.sha2("billing", 256).alias("text_sha256"), "metadata")
+
+
+@query
+def sql_dump_rejects(spark, d):
+    """A dump by another hand: line breaks in strings, doubled quotes, nested objects; tuples with a cell too many or too few."""
+    path = f"{shared_folder(spark)}/ledgersift/dump-{uuid.uuid4().hex}"
+    escaped = F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    quoted = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("''")), F.lit("'"))
+    more = F.when(F.col("lang") == "en", "").otherwise(", 7")
+    one = F.concat(
+        F.lit("("), F.col("doc_id").cast("string"), F.lit(", "), quoted, F.lit(""", {"k": {"z": [1, "it's)"]}}"""), more, F.lit("),\n")
+    )
+    line = F.concat(F.lit("INSERT INTO `expenses` (`id`, `billing`, `metadata`) VALUES\n"), one, F.lit("(0);"))
+    spark.read.parquet(f"{d}/documents.parquet").select(line.alias("value")).write.text(path)
+    rows, rejected = read_dump(spark, path)
+    loaded = rows.groupBy(F.sha2("billing", 256).alias("text_sha256"), "metadata").agg(F.count(F.lit(1)).alias("n"))
+    refused = rejected.groupBy("found").agg(F.count(F.lit(1)).alias("n"))
+    return loaded.withColumn("found", F.lit(3)).unionByName(refused, allowMissingColumns=True)
+
+
+@query
+def csv_hard_roundtrip(spark, d):
+    """Whole texts through CSV, outer blanks, quotes and line breaks included."""
+    path = f"{shared_folder(spark)}/ledgersift/report-{uuid.uuid4().hex}.csv"
+    texts = _texts_as_ledger(spark, d).withColumn("metadata", F.concat(F.lit("  \t"), F.col("metadata"), F.lit("  ")))
+    write_report(texts, path)
+    back = read_csv_ledger(spark, path)
+    return back.select("id", "amount", F.sha2("billing", 256).alias("text_sha256"), "metadata")
+
+
 @query
 def csv_roundtrip(spark, d):
     path = f"{shared_folder(spark)}/ledgersift/report-{uuid.uuid4().hex}.csv"

@@ -1,19 +1,78 @@
-"""Reading and writing the ledger table as a MySQL dump of INSERT statements."""
+"""Reading and writing the ledger table as a MySQL dump of INSERT statements.
+
+A dump can be cut at any line: whether a line begins inside a quoted string
+depends on all lines before it. Every block of a file therefore reports, for each state
+it may begin in, the state it ends in and the statements it closes; composed in
+the order of the blocks, this fixes the true states. The blocks then cut their
+statements, and only statements that cross blocks are put together by a shuffle.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgersift.config import LEDGER_COLUMNS, TIMESTAMP_COLUMNS
 
-# All repetitions are possessive: linear time and no recursion on long values.
-QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
-CELL = rf"(?s)(?:{QUOTED}|\{{[^{{}}]*+\}}|\([^()]*+\)|[^,'{{}}()]++)++"
-TUPLE = rf"(?s)\((?:{QUOTED}|\{{[^{{}}]*+\}}|\([^()]*+\)|[^'{{}}()]++)*+\)"
+OUT, SINGLE, DOUBLE = 0, 1, 2  # outside strings, inside '...', inside "..."
+_NEXT = (re.compile("['\";]"), re.compile(r"['\\]"), re.compile(r'["\\]'))
+_COMMENT = re.compile(r"\s*(?:--(?:\s|$)|#)")
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|[(){}\[\],;]|[^'"(){}\[\],;]++|['"]""", re.S)
+
+
+def scan_line(line: str, state: int) -> tuple[int, list[int]]:
+    """(state after the line, places of the semicolons that end statements) of a line that begins in ``state``.
+
+    A backslash at the end of a line escapes the line break. Comment lines count only outside strings.
+    """
+    if state == OUT and _COMMENT.match(line):
+        return OUT, []
+    at, ends = 0, []
+    while found := _NEXT[state].search(line, at):
+        mark, at = found.group(), found.end()
+        if mark == ";":
+            ends.append(found.start())
+        elif mark == "\\":
+            at += 1
+        elif state == OUT:
+            state = SINGLE if mark == "'" else DOUBLE
+        else:
+            state = OUT
+    return state, ends
+
+
+def split_rows(body: str) -> tuple[list[list[str]], list[str]]:
+    """(tuples as lists of cells, stretches that are no tuple) of a VALUES list.
+
+    Cells are trimmed and keep their quotes. Brackets and braces nest to any depth; strings
+    may hold anything. What is left open at the end is a stretch of its own.
+    """
+    rows, strays, cells, start, depth, last = [], [], [], 0, 0, 0
+    for token in _TOKEN.finditer(body):
+        mark = token.group()
+        if depth == 0:
+            if mark == "(":
+                depth, cells, start, last = 1, [], token.start(), token.end()
+            elif mark.strip(" \t\r\n,;"):
+                strays.append(mark.strip())
+        elif mark in ("(", "{", "["):
+            depth += 1
+        elif mark in (")", "}", "]"):
+            depth -= 1
+            if depth == 0:
+                cells.append(body[last:token.start()].strip())
+                rows.append(cells)
+        elif mark == "," and depth == 1:
+            cells.append(body[last:token.start()].strip())
+            last = token.end()
+    if depth:
+        strays.append(body[start:].strip())
+    return rows, strays
 
 
 def cell_value(raw: Column) -> Column:
@@ -31,6 +90,8 @@ def cell_value(raw: Column) -> Column:
 
 
 def _undone(piece: Column) -> Column:
+    # A doubled quote stands for one, unless its first half belongs to an escape.
+    piece = F.regexp_replace(piece, r"(?<!\\)''", "'")
     for written, meant in (("\\'", "'"), ("\\n", "\n"), ("\\r", "\r")):
         piece = F.replace(piece, F.lit(written), F.lit(meant))
     return piece
@@ -47,56 +108,136 @@ def typed_column(name: str, text: Column) -> Column:
     return text.alias(name)
 
 
-def split_tuples(values: Column) -> Column:
-    """The row tuples of a VALUES list as an array of strings."""
-    return F.regexp_extract_all(values, F.lit(TUPLE), F.lit(0))
+_BLOCK = "path string, block long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[list]]]:
+    """The lines of a task's blocks: ((path, block, other columns), list of lines) in pieces."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        heads = list(zip(*columns[:-1], strict=True))
+        at = 0
+        while at < len(heads):
+            end = at + 1
+            while end < len(heads) and heads[end] == heads[at]:
+                end += 1
+            yield heads[at], columns[-1][at:end]
+            at = end
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block and possible first state the last state and the number of statements that end."""
+    held: dict[tuple, tuple[list[int], list[int]]] = {}
+    for key, lines in _blocks(batches):
+        states, ends = held.setdefault(key, ([OUT, SINGLE, DOUBLE], [0, 0, 0]))
+        for line in lines:
+            for first in (OUT, SINGLE, DOUBLE):
+                states[first], found = scan_line(line, states[first])
+                ends[first] += len(found)
+    rows = [{"path": p, "block": b, "states": states, "ends": ends} for (p, b), (states, ends) in held.items()]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+        ("path", pa.string()), ("block", pa.int64()), ("states", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64()))]))
+
+
+def _starts(frame: pd.DataFrame) -> pd.DataFrame:
+    """The true first state of every block of one file, and the statements closed before it."""
+    frame = frame.sort_values("block")
+    state, before, rows = OUT, 0, []
+    for block, states, ends in zip(frame["block"], frame["states"], frame["ends"], strict=True):
+        rows.append((frame["path"].iloc[0], block, state, before))
+        before += ends[state]
+        state = states[state]
+    return pd.DataFrame(rows, columns=["path", "block", "state", "before"])
 
 
-def split_cells(row: Column) -> Column:
-    """The cells of one tuple (with its parentheses) as an array of trimmed strings."""
-    inner = F.substring(row, F.lit(2), F.length(row) - 2)
-    return F.transform(F.regexp_extract_all(inner, F.lit(CELL), F.lit(0)), lambda c: F.trim(c))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statements of lines with their block's first state; ``whole`` tells those that begin and end in the block."""
+    schema = pa.schema([("path", pa.string()), ("number", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("text", pa.string())])
+    now, state, number, inner, text = None, OUT, 0, False, []
+
+    def made(whole: bool) -> dict:
+        return {"path": now[0], "number": number, "block": now[1], "whole": whole, "text": "".join(text)}
+
+    for key, lines in _blocks(batches):
+        rows = []
+        if key[:2] != now:
+            if now is not None and text:
+                rows.append(made(False))
+            now, state, number, inner, text = key[:2], key[2], key[3], False, []
+        for line in lines:
+            comment = state == OUT and _COMMENT.match(line)
+            state, ends = scan_line(line, state)
+            at = 0
+            for end in ends:
+                text.append(line[at:end])
+                rows.append(made(inner))
+                number, inner, text, at = number + 1, True, [], end + 1
+            if not comment:
+                text.append(line[at:] + "\n")
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    if now is not None and text:
+        yield pa.RecordBatch.from_pylist([made(False)], schema=schema)
+
+
+def read_statements(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(text): the statements of dump files, without their semicolons; comment lines are left out.
+
+    Files are read in parallel blocks that may begin anywhere; a statement must fit into a task.
+    """
+    value = F.col("value")
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        # The text source hands the bytes through as they are.
+        value = F.decode(value.cast("binary"), encoding)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), value.alias("value")
+    )
+    known = lines.mapInArrow(_summaries, f"{_BLOCK}, states array<int>, ends array<long>")
+    starts = known.groupBy("path").applyInPandas(_starts, f"{_BLOCK}, state int, before long")
+    # One row per block of a file: some 100 bytes for each 128 MB read.
+    placed = lines.join(F.broadcast(starts), ["path", "block"]).select("path", "block", "state", "before", "value")
+    pieces = placed.mapInArrow(_pieces, "path string, number long, block long, whole boolean, text string")
+    crossing = pieces.where(~F.col("whole")).groupBy("path", "number").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "").alias("text")
+    )
+    return pieces.where("whole").select("text").unionByName(crossing.select("text"))
 
 
 def read_dump(
     spark: SparkSession, path: str, table: str = "expenses", encoding: str = "UTF-8"
 ) -> tuple[DataFrame, DataFrame]:
-    """Load a dump: (typed ledger rows, rejected tuples).
+    """Load a dump: (typed ledger rows, rejected stretches).
 
-    Each INSERT statement, ended by a semicolon and a line break, is one input
-    record, so a large file is read in parallel splits. Column names come from
-    the first statement; tuples with another number of cells are rejected.
+    Column names come from the first statement on ``table``. Tuples with another number of cells are rejected, and
+    so is what stands in a VALUES list and is no tuple. Strings may hold
+    semicolons, line breaks and whole statements; braces and parentheses may nest.
     """
-    text = spark.read.option("lineSep", ";\n").text(path)
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        # The text source hands the bytes through as they are.
-        text = text.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
-    # A record may hold several statements: other line ends, or several on one line.
-    start = rf"(?i)INSERT INTO `?{table}`?\s*\("
-    text = text.select(F.explode(F.split("value", rf";\s*(?={start})")).alias("value"))
-    head = rf"(?is)INSERT INTO `?{table}`?\s*\(([^)]+)\)\s*VALUES\s*(.*)"
-    statements = text.select(
-        F.regexp_extract("value", head, 1).alias("names"),
-        F.regexp_extract("value", head, 2).alias("body"),
+    head = rf"(?is)^\s*INSERT\s+INTO\s+`?{table}`?\s*\(([^)]+)\)\s*VALUES\s*(.*)"
+    statements = read_statements(spark, path, encoding).select(
+        F.regexp_extract("text", head, 1).alias("names"), F.regexp_extract("text", head, 2).alias("body"),
     ).where(F.col("names") != "")
     first = statements.select("names").first()
     if first is None:
         raise ValueError(f"no INSERT INTO {table} (...) statement in {path}")
     columns = [c.strip().strip("`") for c in first["names"].split(",") if c.strip()]
-    cells = statements.select(F.explode(split_tuples(F.col("body"))).alias("row")).select(
-        "row", split_cells(F.col("row")).alias("cells")
-    )
-    fits = F.size("cells") == len(columns)
-    rows = cells.where(fits).select(
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                rows, strays = split_rows(body)
+                cells = rows + [None] * len(strays)
+                shown = [None if len(r) == len(columns) else "(" + ", ".join(r) + ")" for r in rows] + strays
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.list_(pa.string())), pa.array(shown, pa.string())], ["cells", "row"]
+                )
+
+    cells = statements.select("body").mapInArrow(split, "cells array<string>, row string")
+    rows = cells.where(F.col("row").isNull()).select(
         *[typed_column(c, cell_value(F.col("cells")[i])) for i, c in enumerate(columns)]
     )
-    rejected = cells.where(~fits).select(
-        "row", F.size("cells").alias("found"), F.lit(len(columns)).alias("expected")
+    rejected = cells.where(F.col("row").isNotNull()).select(
+        "row", F.coalesce(F.size("cells"), F.lit(0)).alias("found"), F.lit(len(columns)).alias("expected")
     )
-    # What stands between the tuples and is no separator is reported as well.
-    between = F.explode(F.split("body", TUPLE)).alias("row")
-    left = statements.select(between).where(~F.col("row").rlike(r"^[\s,;]*$"))
-    rejected = rejected.unionByName(left.select("row", F.lit(0).alias("found"), F.lit(len(columns)).alias("expected")))
     return rows, rejected
 
 

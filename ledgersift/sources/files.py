@@ -11,11 +11,14 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 
-
 def _escaped(value: Column) -> Column:
-    """Line breaks and backslashes written out, so that a record is one line and files can be split."""
+    """Line breaks and backslashes written out, so that a record is one line and files can be split.
+
+    An empty text is written as backslash and e, since an empty field is a null.
+    """
     doubled = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    broken = F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.when(value == "", F.lit("\\e")).otherwise(broken)
 
 
 def _unescaped(value: Column) -> Column:
@@ -24,7 +27,7 @@ def _unescaped(value: Column) -> Column:
         F.split(value, r"\\\\"),
         lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
     )
-    return F.array_join(pieces, "\\")
+    return F.when(value == "\\e", F.lit("")).otherwise(F.array_join(pieces, "\\"))
 
 
 def read_csv_ledger(spark: SparkSession, path: str, line_breaks: str = "escaped") -> DataFrame:
@@ -57,6 +60,5 @@ def write_report(df: DataFrame, path: str) -> None:
         df.write.option("timestampNTZFormat", ISO).option("ignoreNullFields", False).json(path)
     else:
         texts = {c: _escaped(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "string"}
-        df.withColumns(texts).write.option("header", True).option("escape", '"').option(
-            "timestampNTZFormat", ISO
-        ).csv(path)
+        plain = {f"ignore{side}WhiteSpace": False for side in ("Leading", "Trailing")}
+        df.withColumns(texts).write.options(header=True, escape='"', timestampNTZFormat=ISO, **plain).csv(path)

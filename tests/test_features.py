@@ -169,3 +169,10 @@ def test_week_shift_keeps_features(base):
 def test_micros(base):
     r = base.select((micros("created_at") % DAY_US).alias("x"), F.hour("created_at").alias("h")).first()
     assert r.x // HOUR_US == r.h
+
+
+def test_modes_do_not_count_nulls_at_any_size(spark, sliced):
+    rows = [ledger_row(i, user_id="A", source=None if i < 5 else "A", expense_type=None) for i in range(8)]
+    for cfg in (AuditConfig(), sliced):
+        got = features.user_statistics(frame(spark, rows), cfg).first()
+        assert got["user_typical_source"] == "A" and got["user_typical_expense_type"] is None

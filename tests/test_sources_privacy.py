@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import frame, ledger_row
 from ledgersift.operators import anonymize as privacy
-from ledgersift.sources.dump import read_dump, split_cells, write_dump
+from ledgersift.sources.dump import read_dump, scan_line, split_rows, write_dump
 from ledgersift.sources.files import read_csv_ledger, write_report
 
 COLUMNS = (
@@ -20,9 +20,64 @@ COLUMNS = (
     (r"'O\'Reilly', 2", [r"'O\'Reilly'", "2"]),
     ("'a (b), c', ''", ["'a (b), c'", "''"]),
 ])
-def test_cells(spark, text, cells):
-    row = spark.createDataFrame([(f"({text})",)], "t string").select(split_cells(F.col("t")).alias("c")).first()
-    assert row.c == cells
+def test_cells(text, cells):
+    assert split_rows(f"({text}), ({text})") == ([cells, cells], [])
+
+
+@pytest.mark.parametrize("body, rows, strays", [
+    (r"('a',1,'p;\nq'),('b',2,NULL)", [["'a'", "1", r"'p;\nq'"], ["'b'", "2", "NULL"]], []),
+    ("""(1, {"k": {"z": 1, "s": "it's)"}}, x)""", [["1", """{"k": {"z": 1, "s": "it's)"}}""", "x"]], []),
+    (r"('it''s', '', '\\'), odd, ()", [["'it''s'", "''", r"'\\'"], [""]], ["odd"]),
+    ("('a', (1, (2))), ('open", [["'a'", "(1, (2))"]], ["('open"]),
+    ("", [], []),
+])
+def test_tuples(body, rows, strays):
+    assert split_rows(body) == (rows, strays)
+
+
+def test_lines_pass_their_state_on():
+    assert scan_line("a; 'b;", 0) == (1, [1]) and scan_line("c'; d\\", 1) == (0, [2])
+    assert scan_line("-- it's; no", 0) == (0, []) and scan_line("-- it's; no", 1) == (0, [7])
+    assert scan_line("x\\", 1) == (1, []) and scan_line("'\\'';\"", 0) == (2, [4])
+
+
+HARD = [
+    "p;\nq", "; INSERT INTO expenses (x) VALUES (1);\n", "it's", "''", "\\", "\\'", "\\n", "a\r\nb", '{"k": {"z": 1}}', "-- no comment", "# none",
+    "('", "');", '"', "", " lead", "tail \t", "\n", "NULL", "é日🎉", "/* x", "`", ",", "x" * 5000 + ";\n",
+]
+
+
+def test_hard_texts_in_blocks_of_any_size(spark, tmp_path):
+    rows = [ledger_row(i, metadata=t, billing=t[::-1]) for i, t in enumerate(HARD)] + [ledger_row(99, metadata=None)]
+    write_dump(frame(spark, rows).repartition(3), str(tmp_path / "d"), batch=5)
+    # A dump by another hand: breaks inside strings, doubled quotes, several statements on a line.
+    shown = [t.replace("\\", "\\\\").replace("'", "''") for t in HARD]
+    other = "-- it's a comment\nSET NAMES 'utf8'; " + "".join(
+        f"INSERT INTO expenses (id, metadata) VALUES ('{i}', '{t}'),\n ('x', 'too', 'many');\n# it's\n" if i % 2
+        else f"insert into `expenses` (`id`,`metadata`) values ('{i}','{t}');"
+        for i, t in enumerate(shown)
+    )
+    (tmp_path / "o.sql").write_text(other, newline="")
+    width = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (width, "97", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            back, rejected = read_dump(spark, str(tmp_path / "d"))
+            assert rejected.count() == 0
+            got = {r.id: (r.metadata, r.billing) for r in back.collect()}
+            assert got == {r["id"]: (r["metadata"], r["billing"]) for r in rows}
+            back, rejected = read_dump(spark, str(tmp_path / "o.sql"))
+            assert {r.id: r.metadata for r in back.collect()} == {str(i): t for i, t in enumerate(HARD)}
+            assert [r.found for r in rejected.collect()] == [3] * (len(HARD) // 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    rows = [ledger_row(i, metadata=t) for i, t in enumerate(HARD)]
+    write_report(frame(spark, rows), str(tmp_path / "h.csv"))
+    back = {r.id: r.metadata for r in read_csv_ledger(spark, str(tmp_path / "h.csv")).collect()}
+    assert back == {r["id"]: r["metadata"] for r in rows}
 
 
 def test_dump_with_quotes_json_and_bad_rows(spark, tmp_path):
@@ -97,8 +152,12 @@ def test_billing(spark):
         ledger_row(1, billing=r'{\"treasury_account_id\": \"T9\", \"method\": \"' + method + r'\"}'),
         ledger_row(2, billing="broken"),
         ledger_row(3, billing=None),
+        ledger_row(4, billing='{"z": {"deep": [1, "x"]}, "method": "cash", "n": 1.5, "treasury_account_id": "", "address_id": 7}'),
     ]
-    out = {r.id: r.billing for r in privacy.sanitize_billing(frame(spark, rows), named_methods=("jane",)).collect()}
+    out = {r.id: r.billing for r in privacy.sanitize_billing(frame(spark, rows), ("jane",)).collect()}
+    assert json.loads(out["EXP_00004"]) == {
+        "z": {"deep": [1, "x"]}, "method": "cash", "n": 1.5, "treasury_account_id": "", "address_id": None,
+    }
     assert json.loads(out["EXP_00000"]) == {
         "treasury_account_id": "ACC_0001", "method": "Corporate account", "address_id": None,
     }
