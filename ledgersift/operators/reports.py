@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from ledgersift.functions.scalar import first_digit
 from ledgersift.operators.ensemble import PATTERN_COLUMNS, SCORES, weights
 from ledgersift.operators.quantiles import distinct_values, quantiles, value_blocks
 from ledgersift.operators.rules import rule_set
+from ledgersift.operators.skew import attach, largest_group
+from ledgersift.session import materialize
 
 
 def flagged() -> Column:
@@ -319,21 +319,44 @@ def box_stats(df: DataFrame, by: str, value: str, cfg: AuditConfig = DEFAULT) ->
     return cuts.select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def spearman(df: DataFrame, columns: list[str] = CORRELATION_COLUMNS) -> DataFrame:
-    """Rank correlations of all column pairs (first, second, rho); rows with gaps are left out."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    whole = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
-    packed = VectorAssembler(inputCols=columns, outputCol="v").transform(whole).select("v")
-    matrix = Correlation.corr(packed, "v", "spearman").first()[0].toArray()
-    # NaN marks a constant column.
-    pairs = [
-        (a, b, None if math.isnan(matrix[i][j]) else float(matrix[i][j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(pairs, "first string, second string, rho double")
+def spearman(
+    df: DataFrame, columns: list[str] = CORRELATION_COLUMNS, cfg: AuditConfig = DEFAULT
+) -> DataFrame:
+    """Rank correlations of all column pairs (first, second, rho); rows with gaps are left out.
+
+    Equal values of a column are merged before they are ranked, so ties never meet in one
+    task: all columns together are ranked as one table of (column, value, count), whose
+    positions give the average ranks. The ranks go back to the rows by one join, and one
+    aggregate sums the products of every pair. ``rho`` is null for a constant column and
+    for a table without rows.
+    """
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    # A zero has one rank whatever its sign.
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), (F.col(c) + 0.0).alias("v")) for i, c in enumerate(columns)])
+    rows = materialize(whole.select(F.monotonically_increasing_id().alias("_row"), cells.alias("_cells")))
+    n = rows.count()
+    long = rows.select("_row", F.inline("_cells"))
+    distinct = distinct_values(long.select(F.struct("c", "v").alias("_cell")), "_cell")
+    blocks = value_blocks(long, ["c"], "v", cfg.limits, distinct)
+    # Every column fills n positions; ranks are counted from its middle.
+    middle = F.col("_first") - F.col("c") * F.lit(n) + (F.col("_count") - n) / 2.0
+    ranks = materialize(blocks.select("c", "v", middle.alias("_rank")))
+    if ranks.count() <= cfg.limits.broadcast_rows:
+        placed = long.join(F.broadcast(ranks), ["c", "v"])
+    else:
+        placed = attach(long, ranks, ["c", "v"], largest_group(long, ["c", "v"]), cfg.limits, unique="_row")
+    wide = placed.groupBy("_row").agg(
+        *[F.max(F.when(F.col("c") == i, F.col("_rank"))).alias(f"r{i}") for i in range(len(columns))]
+    )
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = wide.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    entries = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            spread = F.sqrt(F.col(f"s{i}_{i}")) * F.sqrt(F.col(f"s{j}_{j}"))
+            rho = F.lit(1.0) if i == j else F.col(f"s{min(i, j)}_{max(i, j)}") / spread
+            entries.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.when(spread > 0, rho).alias("rho")))
+    return sums.select(F.inline(F.array(*entries)))
 
 
 def gini(df: DataFrame, value: str = "amount", cfg: AuditConfig = DEFAULT) -> DataFrame:
