@@ -476,6 +476,9 @@ SQL: dict[str, str] = {
         updated_at + CASE WHEN late THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS updated_at)
         FROM raw CROSS JOIN (SELECT false AS late UNION ALL SELECT true) WHERE event_id % 40 = 39))
       QUALIFY reason IS NOT NULL OR row_number() OVER (PARTITION BY id, reason IS NULL ORDER BY updated_at, created_at) > 1""",
+    "stream_behavior": """SELECT id, round(user_rolling_mean_7d, 2) AS user_rolling_mean_7d, round(user_rolling_std_7d, 2) AS user_rolling_std_7d,
+      round(days_since_last_tx, 6) AS days_since_last_tx, round(fraud_duplicate_score, 6) AS fraud_duplicate_score, 0 AS late
+      FROM rolling JOIN gaps USING (id) LEFT JOIN p_duplicate USING (id)""",
     "csv_roundtrip": """SELECT id, amount, created_at, '{"note": "it''s \\\\ fine, ok"}' AS metadata, 1::bigint AS state FROM raw""",
     "json_roundtrip": "SELECT id, amount, created_at, user_id FROM raw",
     "parquet_roundtrip": "SELECT id, amount, created_at, 1::bigint AS state FROM raw",

@@ -21,6 +21,7 @@ from ledgersift.session import materialize, shared_folder
 from ledgersift.sources.dump import read_dump, write_dump
 from ledgersift.sources.files import read_csv_ledger, write_report
 from ledgersift.sources.fixture import order_ledger, raw_ledger
+from ledgersift.streaming.behavior import write_behavior
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -825,3 +826,27 @@ def score_new(spark, d):
     history, new = _split_arrivals(spark, d)
     models = pipeline.fit(history)
     return pipeline.score_new(history, new, models)[0]
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query
+def stream_behavior(spark, d):
+    """Look-back figures of the ledger arriving in three parts, each after a restart of the stream."""
+    rows = base(spark, d).select("id", "user_id", "amount", "created_at")
+    first, last = rows.agg(F.min(micros("created_at")), F.max(micros("created_at"))).first()
+    step = ((last or 0) - (first or 0)) // 3 + 1
+    part = F.floor((micros("created_at") - F.lit(first or 0)) / F.lit(step))
+    place = f"{shared_folder(spark)}/ledgersift/{uuid.uuid4().hex}"
+    for i in range(3):
+        rows.where(part == i).write.mode("append").parquet(f"{place}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        write_behavior(arriving, f"{place}/out", f"{place}/state").awaitTermination()
+    out = spark.read.parquet(f"{place}/out")
+    return out.select(
+        "id", F.round("user_rolling_mean_7d", 2).alias("user_rolling_mean_7d"),
+        F.round("user_rolling_std_7d", 2).alias("user_rolling_std_7d"),
+        F.round("days_since_last_tx", 6).alias("days_since_last_tx"),
+        F.round("fraud_duplicate_score", 6).alias("fraud_duplicate_score"), "late",
+    )
