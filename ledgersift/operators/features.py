@@ -69,17 +69,26 @@ def attach_users(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     return attach(df, user_statistics(df, cfg), ["user_id"], largest, cfg.limits)
 
 
-def add_amount_global(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def overall_amounts(df: DataFrame, cfg: AuditConfig = DEFAULT) -> dict[str, float | None]:
+    """Mean, deviation and quartiles of all amounts."""
+    moments = df.agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std")).first()
+    q1, q3 = table_quantiles(df, "amount", [0.25, 0.75], cfg.limits)
+    return {"mean": moments["mean"], "std": moments["std"], "q1": q1, "q3": q3}
+
+
+def add_amount_global(
+    df: DataFrame, cfg: AuditConfig = DEFAULT, overall: dict[str, float | None] | None = None
+) -> DataFrame:
     """log amount, global z-score and global Tukey flag.
 
-    The four table-wide numbers are computed first and enter the plan as
-    literals, so later steps do not drag their sub-plans along.
+    The four table-wide numbers are computed first (or given as ``overall``) and enter the
+    plan as literals, so later steps do not drag their sub-plans along.
     """
-    moments = df.agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std")).first()
-    q1, q3 = table_quantiles(df, "amount", [0.25, 0.75], cfg.limits)
+    known = overall or overall_amounts(df, cfg)
+    q1, q3 = known["q1"], known["q3"]
     z = F.lit(0.0)
-    if moments["std"] and moments["std"] > 0:
-        z = (F.col("amount") - moments["mean"]) / moments["std"]
+    if known["std"] and known["std"] > 0:
+        z = (F.col("amount") - known["mean"]) / known["std"]
     return df.withColumns(
         {
             "amount_log": F.log1p("amount"),
@@ -180,13 +189,19 @@ def add_days_since_last(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     )
 
 
-def add_supplier(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Supplier usage, rarity and the amount against the supplier's mean."""
-    stats = (
-        df.where(F.col("supplier_id").isNotNull())
-        .groupBy("supplier_id")
-        .agg(F.count("id").alias("_uses"), F.avg("amount").alias("_mean"))
-    )
+def supplier_statistics(df: DataFrame) -> DataFrame:
+    own = df.where(F.col("supplier_id").isNotNull())
+    return own.groupBy("supplier_id").agg(F.count("id").alias("_uses"), F.avg("amount").alias("_mean"))
+
+
+def add_supplier(
+    df: DataFrame, cfg: AuditConfig = DEFAULT, stats: DataFrame | None = None
+) -> DataFrame:
+    """Supplier usage, rarity and the amount against the supplier's mean.
+
+    ``stats`` are the suppliers' figures where the rows are not all there are.
+    """
+    stats = supplier_statistics(df) if stats is None else stats
     largest = largest_group(df, ["supplier_id"])
     out = attach(df, stats, ["supplier_id"], largest, cfg.limits)
     rare = F.col("supplier_id").isNotNull() & (F.col("_uses") < cfg.rare_supplier)
@@ -202,19 +217,25 @@ def add_supplier(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     )
 
 
-def enrich(df: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def enrich(
+    df: DataFrame,
+    cfg: AuditConfig = DEFAULT,
+    overall: dict[str, float | None] | None = None,
+    suppliers: DataFrame | None = None,
+) -> DataFrame:
     """All features of a cleaned, normalised ledger.
 
     The steps that group by user follow each other, so that in an ordinary
-    layout they share one shuffle of the rows.
+    layout they share one shuffle of the rows. ``overall`` and ``suppliers`` replace the
+    figures of the table where ``df`` holds only the rows of some users.
     """
     out = add_temporal(df, cfg)
-    out = add_amount_global(out, cfg)
+    out = add_amount_global(out, cfg, overall)
     out = attach_users(out, cfg)
     out = add_amount_user(out, cfg)
     out = add_daily_count(out, cfg)
     out = add_rolling(out, cfg)
     out = add_days_since_last(out, cfg)
     out = add_profile(out, cfg)
-    out = add_supplier(out, cfg)
+    out = add_supplier(out, cfg, suppliers)
     return out.drop("_q")

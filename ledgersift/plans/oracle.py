@@ -14,6 +14,7 @@ from ledgersift.operators.ensemble import PATTERN_COLUMNS, SCORES, weights
 from ledgersift.operators.reports import BREAK_FLAGS, SWEEP
 from ledgersift.operators.rules import SHORT_LABELS, rule_set
 from ledgersift.plans.flagship import SIMPLE
+from ledgersift.plans.queries import INCREMENTAL
 from ledgersift.sources.fixture import LEDGER_EXPRESSIONS
 
 DAY = 86400000000
@@ -516,5 +517,21 @@ SQL["flagship"] = f"""SELECT id, user_id, amount, round({_simple_score}, 6) AS s
     FROM feat ORDER BY {_simple_score} DESC, amount DESC, id LIMIT 20"""
 
 
+def _with_arrivals(select: str) -> str:
+    """A statement over the ledger in which accepted arrivals stand in for the rows of their ids."""
+    both = """SELECT * FROM come UNION ALL SELECT * FROM sent WHERE event_id % 40 <> 39 AND id NOT IN (SELECT id FROM come)"""
+    come = """SELECT * REPLACE (CASE WHEN event_id % 400 = 39 THEN concat('EXP_', lpad(CAST(event_id - 1 AS varchar), 7, '0'))
+        ELSE id END AS id, coalesce(status, 'pending') AS status) FROM sent WHERE event_id % 40 = 39 AND amount > 0 AND deleted_at IS NULL"""
+    plain = f"raw AS MATERIALIZED ({CTES['raw']})"
+    changed = f"sent AS MATERIALIZED ({CTES['raw']}), come AS MATERIALIZED ({come}), raw AS MATERIALIZED ({both})"
+    return build(select).replace(plain, changed)
+
+
+_rounded = ", ".join(f"round({c}, {digits}) AS {c}" for c, digits in INCREMENTAL.items())
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: build(text) for name, text in SQL.items()}
+    arrived = _with_arrivals(
+        f"SELECT id, {_rounded}, user_typical_source, user_typical_expense_type FROM encoded WHERE event_id % 80 = 79"
+    )
+    return {**{name: build(text) for name, text in SQL.items()}, "incremental_features": arrived}

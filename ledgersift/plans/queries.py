@@ -17,12 +17,23 @@ from ledgersift.operators import density, ensemble, features, iforest, knn, matr
 from ledgersift.operators import reports, rules
 from ledgersift.operators.rolling import lookback
 from ledgersift.plans import audit as pipeline
+from ledgersift.plans.incremental import LedgerState
 from ledgersift.session import materialize, shared_folder
 from ledgersift.sources.dump import read_dump, write_dump
 from ledgersift.sources.files import read_csv_ledger, write_report
 from ledgersift.sources.fixture import order_ledger, raw_ledger
 from ledgersift.streaming.behavior import write_behavior
 
+# Columns compared for arrivals, with their digits.
+INCREMENTAL = {
+    "amount_zscore_global": 6, "amount_iqr_flag_global": 0, "amount_zscore_per_user": 6, "amount_vs_user_mean_ratio": 6,
+    "amount_iqr_flag_per_user": 0, "amount_deviation_from_user_median": 6, "user_tx_count": 0, "user_tx_per_day": 6,
+    "tx_daily_count": 0, "user_rolling_mean_7d": 2, "user_rolling_std_7d": 2, "amount_vs_rolling_mean_ratio": 6,
+    "days_since_last_tx": 6, "hour_deviation_from_user_norm": 6, "is_unusual_source_for_user": 0,
+    "is_unusual_type_for_user": 0, "supplier_usage_count": 0, "is_rare_supplier": 0, "amount_vs_supplier_avg": 6,
+    "status_encoded": 0, "expense_type_encoded": 0, "source_encoded": 0, "currency_encoded": 0,
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _staged: dict[tuple, DataFrame] = {}
@@ -637,6 +648,19 @@ def score_new_rejected(spark, d):
     return pipeline.split_scorable(twice)[1].select("id", "updated_at", "rejected")
 
 
+@query
+def incremental_features(spark, d):
+    """Features of the second half of the arrivals, from the saved state with the first half merged in."""
+    history, new = _split_arrivals(spark, d)
+    state = LedgerState.build(history, f"{shared_folder(spark)}/ledgersift/{uuid.uuid4().hex}", 16)
+    state.apply(state.change(new.where("event_id % 80 = 39")))
+    out = state.features(state.change(new.where("event_id % 80 = 79")))
+    return out.select(
+        "id", *[F.round(c, digits).alias(c) for c, digits in INCREMENTAL.items()],
+        "user_typical_source", "user_typical_expense_type",
+    )
+
+
 @query
 def union_new_history(spark, d):
     history, new = _split_arrivals(spark, d)
