@@ -47,13 +47,56 @@ def replace_by_alias(
     )
 
 
+def alias_dictionary(
+    df: DataFrame, known: DataFrame | None = None, order: list[str] = ORDER, cfg: AuditConfig = DEFAULT
+) -> DataFrame:
+    """(kind, value, number) of the four entity columns: the dictionary that keeps aliases the same.
+
+    All rows of ``known`` stay as they are; values it lacks are appended per kind in their
+    order of first appearance, after its largest number. Nulls and blanks get no number.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in PREFIXES])
+    places = [f"_o{i}" for i in range(len(order))]
+    cells = df.select(F.inline(entries), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)])
+    seen = (
+        cells.where(F.trim("value") != "")
+        .groupBy("kind", "value")
+        .agg(F.min(F.struct(*places)).alias("_seen"))
+        .select("kind", "value", "_seen.*")
+    )
+    if known is not None:
+        seen = seen.join(known.select("kind", "value"), ["kind", "value"], "left_anti")
+    seen = materialize(seen)
+    # One numbering for all kinds; a kind starts where the ones before it end.
+    numbered = number_rows(seen, ["kind", *places, "value"], "_no", seen.count(), cfg.limits)
+    starts = materialize(numbered.select("kind", "value", "_no"))
+    first = {r["kind"]: r["low"] for r in starts.groupBy("kind").agg(F.min("_no").alias("low")).collect()}
+    last = {}
+    if known is not None:
+        last = {r["kind"]: r["high"] for r in known.groupBy("kind").agg(F.max("number").alias("high")).collect()}
+    shift = F.lit(0).cast("long")
+    for kind, low in first.items():
+        shift = F.when(F.col("kind") == kind, F.lit(last.get(kind, 0) - low + 1)).otherwise(shift)
+    added = starts.select("kind", "value", (F.col("_no") + shift).cast("long").alias("number"))
+    return added if known is None else known.select("kind", "value", "number").unionByName(added)
+
+
 def pseudonymize(
-    df: DataFrame, order: list[str] = ORDER, cfg: AuditConfig = DEFAULT
+    df: DataFrame,
+    order: list[str] = ORDER,
+    cfg: AuditConfig = DEFAULT,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace the four entity columns by pseudonyms and renumber ids and references."""
+    """Replace the four entity columns by pseudonyms and renumber ids and references.
+
+    ``dictionary`` is the :func:`alias_dictionary` to use, for instance that of an earlier
+    export extended by this one's values; without it the export has one of its own.
+    """
+    known = alias_dictionary(df, order=order, cfg=cfg) if dictionary is None else dictionary
     out = df
     for column, prefix in PREFIXES.items():
-        aliases = pseudonyms(df, column, prefix, order, cfg)
+        alias = F.format_string(f"{prefix}_%04d", F.col("number")).alias(f"{column}_alias")
+        aliases = known.where(F.col("kind") == column).select(F.col("value").alias(column), alias)
         out = replace_by_alias(out, column, aliases, column == "company_id", cfg)
     out = number_rows(out, order, "_no", df.count(), cfg.limits)
     return out.withColumns(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from ledgersift.config import CORRELATION_COLUMNS, MATRIX_COLUMNS, SOURCE_FIXES
+from ledgersift.config import CORRELATION_COLUMNS, LEDGER_COLUMNS, MATRIX_COLUMNS, SOURCE_FIXES
 from ledgersift.operators.ensemble import PATTERN_COLUMNS, SCORES, weights
 from ledgersift.operators.reports import BREAK_FLAGS, SWEEP
 from ledgersift.operators.rules import SHORT_LABELS, rule_set
@@ -194,6 +194,12 @@ CTES: dict[str, str] = {
         f" FROM raw WHERE trim({c}) <> '' GROUP BY {c}"
         for c, p in {"company_id": "COMP", "user_id": "USR", "shop_id": "SHOP", "supplier_id": "SUPP"}.items()
     ),
+    "grown": " UNION ALL ".join(
+        f"SELECT '{c}' AS col, v, concat('{p}_', lpad(CAST(row_number() OVER (ORDER BY early IS NULL, coalesce(early, seen)) AS varchar), 4, '0')) AS alias"
+        f" FROM (SELECT {c} AS v, min((updated_at, id)) AS seen, min((updated_at, id)) FILTER (WHERE event_id % 3 = 1 AND user_id < 'USR_00060') AS early"
+        f" FROM raw WHERE trim({c}) <> '' GROUP BY {c})"
+        for c, p in {"company_id": "COMP", "user_id": "USR", "shop_id": "SHOP", "supplier_id": "SUPP"}.items()
+    ),
     "arrivals": """SELECT * REPLACE (CASE WHEN event_id % 400 = 39 THEN
         concat('EXP_', lpad(CAST(event_id - 1 AS varchar), 7, '0')) ELSE id END AS id) FROM raw WHERE event_id % 40 = 39
         AND amount > 0""",
@@ -480,6 +486,18 @@ SQL: dict[str, str] = {
     "stream_behavior": """SELECT id, round(user_rolling_mean_7d, 2) AS user_rolling_mean_7d, round(user_rolling_std_7d, 2) AS user_rolling_std_7d,
       round(days_since_last_tx, 6) AS days_since_last_tx, round(fraud_duplicate_score, 6) AS fraud_duplicate_score, 0 AS late
       FROM rolling JOIN gaps USING (id) LEFT JOIN p_duplicate USING (id)""",
+    "neutral_documents": """SELECT '{"note": null, "matchingMediaIds": []}' AS metadata, NULL::varchar AS items, NULL::varchar AS shipping,
+      count(*) AS n FROM raw HAVING count(*) > 0""",
+    "schema_drift": "SELECT column_name, 'extra' AS finding FROM (DESCRIBE events) WHERE column_name NOT IN ("
+    + ", ".join(f"'{c}'" for c in LEDGER_COLUMNS) + ") UNION ALL SELECT c, 'missing' FROM unnest(["
+    + ", ".join(f"'{c}'" for c in LEDGER_COLUMNS) + "]) t(c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE events))",
+    "sql_dump_encoding": "SELECT id, 'd\u00e9p\u00f4t \u00e0 ' || shop_id AS metadata, amount, date_trunc('second', updated_at) AS updated_at FROM raw",
+    "latest_batch_top": """SELECT id, 2 AS batch_id, amount, score_final FROM scored WHERE is_anomaly = 1 AND event_id % 3 = 2
+      ORDER BY score_final DESC, id LIMIT 50""",
+    "pseudonyms_second_export": """SELECT concat('EXP_', lpad(CAST(no AS varchar), 5, '0')) AS id, c.alias AS company_id, u.alias AS user_id,
+      s.alias AS shop_id, p.alias AS supplier_id, amount FROM (SELECT *, row_number() OVER (ORDER BY updated_at, id) AS no FROM raw) r
+      LEFT JOIN grown c ON c.col = 'company_id' AND c.v = r.company_id LEFT JOIN grown u ON u.col = 'user_id' AND u.v = r.user_id
+      LEFT JOIN grown s ON s.col = 'shop_id' AND s.v = r.shop_id LEFT JOIN grown p ON p.col = 'supplier_id' AND p.v = r.supplier_id""",
     "csv_roundtrip": """SELECT id, amount, created_at, '{"note": "it''s \\\\ fine, ok"}' AS metadata, 1::bigint AS state FROM raw""",
     "json_roundtrip": "SELECT id, amount, created_at, user_id FROM raw",
     "parquet_roundtrip": "SELECT id, amount, created_at, 1::bigint AS state FROM raw",

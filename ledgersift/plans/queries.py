@@ -23,6 +23,7 @@ from ledgersift.sources.dump import read_dump, write_dump
 from ledgersift.sources.files import read_csv_ledger, write_report
 from ledgersift.sources.fixture import order_ledger, raw_ledger
 from ledgersift.streaming.behavior import write_behavior
+from ledgersift.streaming.microbatch import latest_top
 
 # Columns compared for arrivals, with their digits.
 INCREMENTAL = {
@@ -678,6 +679,28 @@ def pseudonymize(spark, d):
     return out.select("id", "company_id", "user_id", "shop_id", "supplier_id", "reference", "amount")
 
 
+@query
+def pseudonyms_second_export(spark, d):
+    """An export of every row with the aliases that an earlier export of some rows has given."""
+    raw = raw_ledger(spark, d)
+    first = materialize(privacy.alias_dictionary(raw.where("event_id % 3 = 1 AND user_id < 'USR_00060'")))
+    out = privacy.pseudonymize(raw, dictionary=materialize(privacy.alias_dictionary(raw, first)))
+    return out.select("id", "company_id", "user_id", "shop_id", "supplier_id", "amount")
+
+
+@query
+def neutral_documents(spark, d):
+    """What is left of metadata, items and shipping in a shared copy."""
+    out = privacy.blank_documents(_full_ledger(spark, d))
+    return out.groupBy("metadata", "items", "shipping").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def schema_drift(spark, d):
+    """The events table as it stands against the ledger's columns."""
+    return cleaning.schema_drift(spark.read.parquet(f"{d}/events.parquet"))
+
+
 @query
 def billing_sanitize(spark, d):
     raw = raw_ledger(spark, d)
@@ -722,6 +745,16 @@ def sql_dump_roundtrip(spark, d):
     )
 
 
+@query
+def sql_dump_encoding(spark, d):
+    """A dump in another encoding than UTF-8."""
+    path = f"{shared_folder(spark)}/ledgersift/dump-{uuid.uuid4().hex}"
+    accents = F.concat(F.lit("d\u00e9p\u00f4t \u00e0 "), F.col("shop_id"))
+    write_dump(_full_ledger(spark, d).withColumn("metadata", accents), path, encoding="ISO-8859-1")
+    rows, _ = read_dump(spark, path, encoding="ISO-8859-1")
+    return rows.select("id", "metadata", "amount", "updated_at")
+
+
 def _texts_as_ledger(spark, d):
     """All documents as ledger rows whose documents are their whole texts."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -874,3 +907,12 @@ def stream_behavior(spark, d):
         F.round("days_since_last_tx", 6).alias("days_since_last_tx"),
         F.round("fraud_duplicate_score", 6).alias("fraud_duplicate_score"), "late",
     )
+
+
+@query
+def latest_batch_top(spark, d):
+    """The highest anomalies of the newest of three written batches."""
+    place = f"{shared_folder(spark)}/ledgersift/{uuid.uuid4().hex}"
+    batches = standin(spark, d).withColumn("batch_id", F.col("id").substr(-7, 7).cast("long") % 3)
+    batches.write.partitionBy("batch_id").parquet(f"{place}/scored")
+    return latest_top(spark, place, 50).select("id", "batch_id", "amount", "score_final")

@@ -258,9 +258,14 @@ def literal(name: str, kind: str) -> Column:
     return F.when(value.isNull(), F.lit("NULL")).otherwise(F.coalesce(shown, F.lit("NULL")))
 
 
-def write_dump(df: DataFrame, path: str, table: str = "expenses", batch: int = 100) -> None:
+def write_dump(
+    df: DataFrame, path: str, table: str = "expenses", batch: int = 100, encoding: str = "UTF-8"
+) -> None:
     """Write INSERT statements of up to ``batch`` rows, one text file per partition.
 
+    ``encoding`` may be UTF-8 or one of a byte per character that holds every character
+    of the rows; any other character is an error.
+
     Literals are formatted by column expressions; only the joining of finished
     row texts into statements is done in Python, within a partition.
     """
@@ -282,4 +287,8 @@ def write_dump(df: DataFrame, path: str, table: str = "expenses", batch: int = 1
         if held:
             yield pd.DataFrame({"value": [prefix + ",\n".join(held) + ";"]}, dtype=object)
 
-    rows.mapInPandas(statements, "value string").write.text(path)
+    made = rows.mapInPandas(statements, "value string")
+    if encoding != "UTF-8":
+        # The text sink writes the bytes it is given.
+        made = made.select(F.encode("value", encoding).cast("string").alias("value"))
+    made.write.text(path)
