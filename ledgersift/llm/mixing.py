@@ -1,12 +1,13 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 The words of each source form one long run that is cut into blocks of equal
-length. The mix consists of slots: slot ``k`` of a source takes, in epoch
-``k div B``, the block that a keyed permutation of 0 .. B-1 gives for
+length. The mix consists of slots. For every output shard the number of slots of
+each source is drawn (multinomial, given the totals that the targets fix); a
+source's slots are then numbered over its shards in turn. Slot ``k`` takes, in
+epoch ``k div B``, the block that a keyed permutation of 0 .. B-1 gives for
 ``k mod B``. The last slot is cut to the words that are still missing, so that a
-source gives its target to the word, however small it is. Each slot draws its output shard by a keyed hash, so the source
-counts of a shard are multinomial, given the totals that the targets fix.
-Slots and blocks meet in an equi-join by (source, block).
+source gives its target to the word, however small it is. Slots and blocks meet
+in an equi-join by (source, block).
 
 Everything is DataFrame operations. Positions inside a source come from sums
 of bounded chunks, so that a source with most of the rows needs no task of its own.
@@ -23,6 +24,7 @@ from ledgersift.llm.words import WORD, word_count
 BLOCK_WORDS = 256
 CHUNK_ROWS = 2_000
 SLOT_RUN = 4096
+SHARDS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SEED = 20_240_501
@@ -103,19 +105,22 @@ def permuted(index: Column, size: Column, tag: Column, rounds: int = 24, inverse
     return F.aggregate(turns, index.cast("bigint"), turn)
 
 
-def mix_slots(targets: DataFrame, shards: int = 64, block: int = BLOCK_WORDS, limit: int = REPEATS) -> DataFrame:
-    """The mix as slots (sid, k, epoch, block, take, shard); at most ``limit`` epochs of each source.
+def mix_slots(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, limit: int = REPEATS) -> DataFrame:
+    """The mix as slots (shard, sid, slot, k, epoch, block, take); at most ``limit`` epochs of each source.
 
-    ``take`` words are taken from the start of the block: all of them but in a source's last slot.
+    A shard holds the slots that its drawn count of the source gives it: ``slot`` numbers them inside the
+    shard, ``k`` inside the source, over its shards in turn. ``take`` words are taken from the start of the block: all of them but in a source's last slot.
     """
-    blocks = F.ceil(F.col("source_size") / block).cast("bigint")
+    # Sources without words are dropped below; Spark may compute their figures first, so nothing divides by their size.
+    some = F.greatest(F.col("source_size"), F.lit(1))
+    blocks = F.ceil(some / block).cast("bigint")
     goal = F.least(F.round("target").cast("bigint"), F.col("source_size") * limit)
     # The last block of a run is shorter; ``_at`` is its place among the slots of the epoch that is not full.
     counts = (
         targets.where(F.col("source_size") > 0)
         .withColumn("_blocks", blocks)
         .withColumn("_goal", goal)
-        .withColumn("_full", F.call_function("div", F.col("_goal"), F.col("source_size")))
+        .withColumn("_full", F.call_function("div", F.col("_goal"), some))
         .withColumn("_rest", F.col("_goal") - F.col("_full") * F.col("source_size"))
         .withColumn("_gap", F.col("_blocks") * block - F.col("source_size"))
         .withColumn(
@@ -129,16 +134,13 @@ def mix_slots(targets: DataFrame, shards: int = 64, block: int = BLOCK_WORDS, li
         .where(F.col("_slots") > 0)
     )
     given = ("_blocks", "_slots", "_full", "_rest", "_gap", "_at", "source_size")
-    runs = counts.select(
-        "sid", *given,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_slots") - 1) / SLOT_RUN).cast("bigint"))).alias("_run"),
+    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shard_counts(counts.select("sid", F.col("_slots").alias("slots")), shards).withColumn(
+        "_first", F.coalesce(F.sum("slots").over(before), F.lit(0))
     )
-    runs = runs.repartition("sid", "_run")
-    slots = runs.select(
-        "sid", *given,
-        F.explode(
-            F.sequence(F.col("_run") * SLOT_RUN, F.least((F.col("_run") + 1) * SLOT_RUN, F.col("_slots")) - 1)
-        ).alias("k"),
+    slots = (
+        _numbered(counts.select("sid", *given).join(shares, "sid"), "slots", ["sid", "shard"], "slot")
+        .withColumn("k", F.col("_first") + F.col("slot"))
     )
     epoch = F.call_function("div", F.col("k"), F.col("_blocks"))
     place = F.pmod(F.col("k"), F.col("_blocks"))
@@ -148,11 +150,29 @@ def mix_slots(targets: DataFrame, shards: int = 64, block: int = BLOCK_WORDS, li
     return slots.withColumn("epoch", epoch).withColumn(
         "block", permuted(place, F.col("_blocks"), _epoch_tag(F.col("epoch")))
     ).select(
-        "sid", "k", "epoch", "block", words.cast("bigint").alias("take"),
-        F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "k"), F.lit(shards)).alias("shard"),
+        "shard", "sid", "slot", "k", "epoch", "block", words.cast("bigint").alias("take")
     )
 
 
+def shard_counts(totals: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(sid, shard, slots): multinomial counts of the ``slots`` of each source over equally likely shards.
+
+    Each slot is one draw by a keyed hash; a shard that gets no slot of a source has no row for it.
+    """
+    draws = _numbered(totals.select("sid", "slots"), "slots", ["sid"], "_draw")
+    shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "_draw"), F.lit(shards)).cast("int")
+    return draws.groupBy("sid", shard.alias("shard")).agg(F.count(F.lit(1)).alias("slots"))
+
+
+def _numbered(rows: DataFrame, count: str, keys: list[str], name: str) -> DataFrame:
+    """Each row as often as ``count`` says, numbered from 0; long runs are spread over tasks."""
+    last = F.floor((F.col(count) - 1) / SLOT_RUN).cast("bigint")
+    runs = rows.where(F.col(count) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    first = F.col("_run") * SLOT_RUN
+    numbers = F.sequence(first, F.least(first + SLOT_RUN, F.col(count)) - 1)
+    return runs.repartition(*keys, "_run").withColumn(name, F.explode(numbers)).drop("_run")
+
+
 def _epoch_tag(epoch: Column) -> Column:
     return F.xxhash64(F.struct(F.col("sid"), epoch))
 
@@ -191,21 +211,23 @@ def plan(docs: DataFrame, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
     return sized, materialize(source_targets(per_source, share=share).withColumn("chunks", chunks).drop("rows"))
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size, source_size, target and ``taken``, the words the mix takes, repeats counted.
+def taken_words(docs: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, ``taken``, the words the mix takes, repeats counted, and
+    ``n_shards``, the number of output shards that hold some of them.
 
     Null texts have size 0, null sources are one source, equal rows are placed
     one after the other, an empty table gives no rows. Other columns are ignored.
     """
     sized, targets = plan(docs.select("doc_id", "text", "source"))
     placed = place_documents(sized.drop("text"), targets)
-    used = mix_slots(targets).groupBy("sid", "block").agg(F.collect_list("take").alias("takes"))
-    here = F.aggregate(
-        "takes", F.lit(0).cast("bigint"), lambda a, t: a + _within(F.col("words"), F.col("offset"), t)
-    )
+    # A block has at most one slot in each epoch; a document at most SHARDS shards.
+    used = mix_slots(targets, block=words).groupBy("sid", "block").agg(F.collect_list(F.struct("take", "shard")).alias("uses"))
     taken = (
-        block_pieces(placed).join(used.hint("merge"), ["sid", "block"])
-        .groupBy("sid", "start").agg(F.sum(here).alias("taken"))
+        block_pieces(placed, words).join(used.hint("merge"), ["sid", "block"])
+        .withColumn("use", F.explode("uses"))
+        .withColumn("words", _within(F.col("words"), F.col("offset"), F.col("use.take"))).where(F.col("words") > 0)
+        .groupBy("sid", "start")
+        .agg(F.sum("words").alias("taken"), F.size(F.collect_set("use.shard")).cast("bigint").alias("n_shards"))
     )
     # An empty document shares its start with its successor but takes nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
@@ -213,7 +235,8 @@ def taken_words(docs: DataFrame) -> DataFrame:
         placed.withColumn("_start", key)
         .join(taken.withColumnRenamed("start", "_start").hint("merge"), ["sid", "_start"], "left")
         .select(
-            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
+            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+            F.coalesce("n_shards", F.lit(0)).cast("bigint").alias("n_shards"),
         )
     )
 
@@ -254,3 +277,38 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in names:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("bigint"))
     return mixed.select(*names)
+
+
+def mix_blocks(docs: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as output blocks: (shard, source, slot, epoch, block, n_words, text), one row per slot.
+
+    ``text`` holds the words taken, joined by single spaces: ``words`` of them but at the end of
+    a source's run and in its last slot. ``slot`` numbers the blocks of a source inside their shard.
+    """
+    sized, targets = plan(docs.select("doc_id", "text", "source"))
+    placed = place_documents(sized, targets).where(F.col("size") > 0)
+    first, last = F.col("start"), F.col("start") + F.col("size") - 1
+    blocks = F.sequence(F.call_function("div", first, F.lit(words)), F.call_function("div", last, F.lit(words)))
+
+    def piece(b: Column) -> Column:
+        low = F.greatest(first, b * words)
+        high = F.least(last + 1, (b + 1) * words)
+        part = F.slice("_words", (low - first + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(b.alias("block"), (low - b * words).alias("offset"), part.alias("part"))
+
+    held = (
+        placed.select("sid", "start", "size", F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)).alias("_words"))
+        .select("sid", F.explode(F.transform(blocks, piece)).alias("_piece"))
+        .select("sid", "_piece.*")
+    )
+    whole = held.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("_parts"))
+    run = F.flatten(F.transform("_parts", lambda p: p["part"]))
+    named = targets.select("sid", "source")
+    return (
+        mix_slots(targets, block=words).join(whole.hint("merge"), ["sid", "block"]).join(named, "sid")
+        .withColumn("_run", F.slice(run, 1, F.col("take").cast("int")))
+        .select(
+            "shard", "source", "slot", "epoch", "block", F.size("_run").cast("bigint").alias("n_words"),
+            F.array_join("_run", " ").alias("text"),
+        )
+    )

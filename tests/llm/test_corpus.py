@@ -232,6 +232,52 @@ def test_small_sources_get_their_targets(spark):
     assert mixed == taken
 
 
+def test_mixed_blocks_fill_shards(spark):
+    rows = [(i, " ".join(f"{s}{i}.{j}" for j in range(n)), s) for s, i, n in
+            [("a", i, 40 + i) for i in range(9)] + [("b", 100 + i, 7) for i in range(5)] + [(None, 200, 500), ("c", 300, 0)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks = mixing.mix_blocks(df, words=16).collect()
+    used, sizes = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for b in blocks:
+        words = b.text.split()
+        assert len(words) == b.n_words <= 16 and 0 <= b.shard < 64
+        assert all(w.startswith(b.source or "None") for w in words)
+        used.update(words)
+    assert max(used.values()) <= 3
+    # Every slot of a shard and source is there once, numbered from 0, and each epoch takes a block once.
+    by_shard = collections.defaultdict(list)
+    for b in blocks:
+        by_shard[b.shard, b.source].append(b.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values()) and len({k[0] for k in by_shard}) > 20
+    assert len({(b.source, b.epoch, b.block) for b in blocks}) == len(blocks)
+    # The documents' figures are those of the blocks.
+    home = {w: d for d, t, _ in rows for w in t.split()}
+    taken, shards = collections.Counter(), collections.defaultdict(set)
+    for b in blocks:
+        for w in b.text.split():
+            taken[home[w]] += 1
+            shards[home[w]].add(b.shard)
+    got = {r.doc_id: (r.taken, r.n_shards) for r in mixing.taken_words(df, words=16).collect()}
+    assert got == {d: (taken[d], len(shards[d])) for d, _, _ in rows}
+    assert mixing.mix_blocks(df.limit(0)).count() == 0
+
+
+def test_slots_of_shards_are_multinomial(spark):
+    totals = spark.createDataFrame([(0, 64_000), (1, 640), (2, 0)], "sid long, slots long")
+    rows = mixing.shard_counts(totals, 64).collect()
+    count = collections.Counter()
+    for r in rows:
+        count[r.sid] += r.slots
+    assert count == {0: 64_000, 1: 640}
+    for sid, slots in ((0, 64_000), (1, 640)):
+        seen = {r.shard: r.slots for r in rows if r.sid == sid}
+        each = slots / 64
+        chi = sum((seen.get(i, 0) - each) ** 2 / each for i in range(64))
+        assert 25 < chi < 125  # 63 degrees of freedom: neither uneven nor dealt in turn
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 90)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
