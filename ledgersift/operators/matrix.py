@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersift.config import CATEGORICAL_COLUMNS, DEFAULT, MATRIX_COLUMNS, AuditConfig
-from ledgersift.operators.quantiles import distinct_values, quantiles, value_blocks
+from ledgersift.operators.quantiles import column_quantiles, distinct_values, value_blocks
 from ledgersift.operators.skew import attach, largest_group
 
 
@@ -58,10 +58,8 @@ def medians(df: DataFrame, columns: list[str], cfg: AuditConfig = DEFAULT) -> di
     if small:
         row = df.agg(*[F.median(c).alias(c) for c in small]).first()
         found.update(row.asDict())
-    for c in columns:
-        if c not in found:
-            row = quantiles(df, [], c, [0.5], "q", cfg.limits).first()
-            found[c] = row["q"][0] if row and row["q"] else None
+    wide = {c: [0.5] for c in columns if c not in found}
+    found.update({c: q[0] for c, q in column_quantiles(df, wide).items()} if wide else {})
     return {c: (0.0 if found[c] is None else float(found[c])) for c in columns}
 
 

@@ -472,8 +472,8 @@ def categories(df: DataFrame, column: str = "expense_type") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
-    """A reproducible sample: the rows with the smallest hashes."""
-    return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    """A reproducible sample: the rows with the smallest digests of seed and id."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col("id").cast("string"))), "id").limit(n)
 
 
 def both_classes(df: DataFrame, by: str, labels: tuple[str, str]) -> DataFrame:

@@ -14,7 +14,7 @@ from ledgersift.operators.ensemble import PATTERN_COLUMNS, SCORES, weights
 from ledgersift.operators.reports import BREAK_FLAGS, SWEEP
 from ledgersift.operators.rules import SHORT_LABELS, rule_set
 from ledgersift.plans.flagship import SIMPLE
-from ledgersift.plans.queries import INCREMENTAL
+from ledgersift.plans.queries import INCREMENTAL, SLICED
 from ledgersift.sources.fixture import LEDGER_EXPRESSIONS
 
 DAY = 86400000000
@@ -526,6 +526,57 @@ SQL["fraud_splitting_dates"] = f"""SELECT a.id, count(*) AS n, round(sum(b.amoun
     ON a.user_id = b.user_id AND a.supplier_id = b.supplier_id AND (b.us, b.id) < (a.us, a.id) AND b.us >= a.us - {5 * DAY}
     GROUP BY a.id HAVING count(*) >= 2"""
 
+# The detectors over all pairs of the standardised rows.
+_spread = ", ".join(
+    f"({c} - a_{c}) / CASE WHEN s_{c} <= 1e-14 * abs(a_{c}) OR s_{c} = 0 THEN 1 ELSE s_{c} END" for c in MATRIX_COLUMNS
+)
+CTES["spots"] = f"""SELECT row_number() OVER (ORDER BY id) AS vid, id, [{_spread}]::double[{len(MATRIX_COLUMNS)}] AS v
+    FROM imputed CROSS JOIN scaling"""
+CTES["closest"] = """SELECT a.vid, min({'d': array_distance(a.v, b.v), 'n': b.vid}, 21) AS l FROM spots a CROSS JOIN spots b GROUP BY a.vid"""
+CTES["meets"] = """SELECT vid, r, e.d AS d, e.n AS nid FROM (SELECT vid, unnest(l) AS e, generate_subscripts(l, 1) AS r FROM closest)"""
+CTES["kdists"] = "SELECT vid, max(d) AS kdist FROM meets WHERE r > 1 GROUP BY vid"
+CTES["densities"] = """SELECT m.vid, 1 / (sum(greatest(m.d, k.kdist)) / 20 + 1e-10) AS lrd FROM meets m JOIN kdists k ON k.vid = m.nid
+    WHERE r > 1 GROUP BY m.vid"""
+_factor = "sum(lrd) FILTER ({0}) / 20 * (sum(greatest(d, kdist)) FILTER ({0}) / 20 + 1e-10)"
+CTES["factors"] = f"""SELECT m.vid, {_factor.format('r <= 20')} AS lof, {_factor.format('r > 1')} AS lof_fit
+    FROM meets m JOIN kdists k ON k.vid = m.nid JOIN densities s ON s.vid = m.nid GROUP BY m.vid"""
+CTES["lof_span"] = "SELECT min(lof) AS low, max(lof) AS high, quantile_cont(lof_fit, 0.95) AS cut FROM factors"
+CTES["lofs"] = """SELECT id, least(greatest((lof - low) / (high - low), 0.0), 1.0) AS score_lof, CAST(lof > cut AS int) AS anomaly_lof
+    FROM factors CROSS JOIN lof_span JOIN spots USING (vid)"""
+CTES["radius"] = "SELECT greatest(quantile_cont(d, 0.5), 0.5) AS eps FROM meets WHERE r = 5"
+CTES["cores"] = "SELECT vid, v FROM spots JOIN meets USING (vid) CROSS JOIN radius WHERE r = 5 AND d <= eps"
+CTES["ties"] = """SELECT a.vid AS a, b.vid AS b FROM cores a CROSS JOIN cores b CROSS JOIN radius
+    WHERE a.vid <> b.vid AND array_distance(a.v, b.v) <= eps"""
+CTES["grouped"] = """SELECT vid, comp FROM (WITH RECURSIVE reach(vid, comp) USING KEY (vid) AS (SELECT vid, vid FROM cores UNION
+    SELECT t.b, min(reach.comp) FROM reach JOIN ties t ON t.a = reach.vid JOIN recurring.reach old ON old.vid = t.b
+    WHERE reach.comp < old.comp GROUP BY t.b) SELECT * FROM reach)"""
+CTES["labels_of"] = """SELECT vid, comp AS label FROM grouped UNION ALL
+    SELECT m.vid, min(comp) FROM meets m JOIN grouped g ON g.vid = m.nid CROSS JOIN radius
+    WHERE r <= 5 AND d <= eps AND m.vid NOT IN (SELECT vid FROM cores) GROUP BY m.vid"""
+CTES["sizes_of"] = "SELECT label, count(*) AS size FROM labels_of GROUP BY label"
+CTES["votes"] = """SELECT m.vid, avg(d) AS mean FROM meets m WHERE r <= 5 GROUP BY m.vid"""
+CTES["choices"] = """SELECT m.vid, label, size FROM meets m JOIN labels_of l ON l.vid = m.nid JOIN sizes_of USING (label) WHERE r <= 5
+    GROUP BY m.vid, label, size QUALIFY row_number() OVER (PARTITION BY m.vid ORDER BY count(*) DESC, label) = 1"""
+CTES["dbs"] = """SELECT id, CASE WHEN mean > eps THEN least(mean / (eps * 2), 1.0) WHEN label IS NULL THEN 0.8 WHEN size < 3 THEN 0.6
+    ELSE least(mean / eps * 0.4, 0.4) END::double AS score_dbscan
+    FROM votes CROSS JOIN radius LEFT JOIN choices USING (vid) JOIN spots USING (vid)"""
+CTES["dbs_cut"] = "SELECT quantile_cont(score_dbscan, 0.95) AS cut FROM dbs"
+CTES["dbscans"] = "SELECT id, score_dbscan, CAST(score_dbscan >= cut AS int) AS anomaly_dbscan FROM dbs CROSS JOIN dbs_cut"
+SQL["lof_scores"] = "SELECT id, round(score_lof, 5) AS score_lof, anomaly_lof FROM lofs"
+SQL["dbscan_scores"] = "SELECT id, round(score_dbscan, 5) AS score_dbscan, anomaly_dbscan FROM dbscans"
+SQL["sample_rows"] = "SELECT id, amount FROM base ORDER BY md5(concat('42/', id)), id LIMIT 100"
+SQL["audit_columns"] = f"""SELECT id, amount, round(score_rules, 4) AS score_rules, rules_triggered, anomaly_rules,
+    round(score_lof, 4) AS score_lof, anomaly_lof, round(score_dbscan, 4) AS score_dbscan, anomaly_dbscan, is_fraud_pattern,
+    {', '.join(f'round({c}, 4) AS {n}' for n, c in PATTERN_COLUMNS.items())}
+    FROM ruled JOIN patt USING (id) JOIN lofs USING (id) JOIN dbscans USING (id)"""
+
+SQL["matrix_quantiles"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, " + ", ".join(f"round(quantile_cont({c}::double, {p}), 6) AS q{int(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
+    + " FROM encoded"
+    for c in MATRIX_COLUMNS
+)
+SQL.update({f"{name}_sliced": SQL[name] for name in SLICED})
+
 _simple = [r for r in _rules if r.name in SIMPLE]
 _simple_score = "(0.0" + "".join(f" + {_flag_sql[r.name]} * {r.weight}::double" for r in _simple) + f") / {_weight!r}::double"
 _simple_text = "concat_ws(' | ', " + ", ".join(

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersift.config import DEFAULT, HOUR_US, LEDGER_COLUMNS, MATRIX_COLUMNS, AuditConfig
+from ledgersift.config import DEFAULT, HOUR_US, LEDGER_COLUMNS, MATRIX_COLUMNS, AuditConfig, ScaleLimits
 from ledgersift.functions import scalar
 from ledgersift.functions.temporal import micros
 from ledgersift.operators import anonymize as privacy
 from ledgersift.operators import clean as cleaning
 from ledgersift.operators import density, ensemble, features, iforest, knn, matrix, patterns
 from ledgersift.operators import reports, rules
+from ledgersift.operators.quantiles import column_quantiles
 from ledgersift.operators.rolling import lookback
 from ledgersift.plans import audit as pipeline
 from ledgersift.plans.incremental import LedgerState
@@ -171,9 +172,9 @@ def amount_zscore_global(spark, d):
 
 
 @query
-def iqr_flags(spark, d):
+def iqr_flags(spark, d, cfg: AuditConfig = DEFAULT):
     b = base(spark, d)
-    out = features.add_amount_user(features.attach_users(features.add_amount_global(b)))
+    out = features.add_amount_user(features.attach_users(features.add_amount_global(b, cfg), cfg), cfg)
     return out.select("id", "amount_iqr_flag_global", "amount_iqr_flag_per_user")
 
 
@@ -216,8 +217,8 @@ def daily_frequency(spark, d):
 
 
 @query
-def rolling_7d(spark, d):
-    out = features.add_rolling(base(spark, d))
+def rolling_7d(spark, d, cfg: AuditConfig = DEFAULT):
+    out = features.add_rolling(base(spark, d), cfg)
     return out.select(
         "id",
         F.round("user_rolling_mean_7d", 2).alias("user_rolling_mean_7d"),
@@ -236,8 +237,8 @@ def rolling_ties(spark, d):
 
 
 @query
-def days_since_last(spark, d):
-    out = features.add_days_since_last(base(spark, d))
+def days_since_last(spark, d, cfg: AuditConfig = DEFAULT):
+    out = features.add_days_since_last(base(spark, d), cfg)
     return out.select("id", F.round("days_since_last_tx", 6).alias("days_since_last_tx"))
 
 
@@ -248,8 +249,8 @@ def days_since_last_ties(spark, d):
 
 
 @query
-def user_profile_modes(spark, d):
-    out = features.add_profile(features.attach_users(features.add_temporal(base(spark, d))))
+def user_profile_modes(spark, d, cfg: AuditConfig = DEFAULT):
+    out = features.add_profile(features.attach_users(features.add_temporal(base(spark, d)), cfg), cfg)
     return out.select(
         "id", "user_typical_source", "user_typical_expense_type",
         "is_unusual_source_for_user", "is_unusual_type_for_user",
@@ -288,6 +289,15 @@ def ml_matrix(spark, d):
     return imputed.select("id", *[F.round(c, 5).alias(c) for c in MATRIX_COLUMNS])
 
 
+@query
+def matrix_quantiles(spark, d):
+    """Quantiles of all matrix columns together, by histograms."""
+    probs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    found = column_quantiles(feats(spark, d), {c: list(probs.values()) for c in MATRIX_COLUMNS})
+    out = spark.createDataFrame([(c, *found[c]) for c in MATRIX_COLUMNS], f"name string, {', '.join(f'{q} double' for q in probs)}")
+    return out.select("name", *[F.round(q, 6).alias(q) for q in probs])
+
+
 @query
 def standardized_matrix(spark, d):
     imputed = matrix.impute(feats(spark, d))
@@ -350,8 +360,8 @@ def rule_rates(spark, d):
 
 
 def _pattern(name):
-    def run(spark, d):
-        hits = patterns.PATTERNS[name](base(spark, d))
+    def run(spark, d, cfg: AuditConfig = DEFAULT):
+        hits = patterns.PATTERNS[name](base(spark, d), cfg)
         return hits.select("id", F.round(name, 6).alias(name))
 
     return run
@@ -611,8 +621,8 @@ def spearman_matrix(spark, d):
 
 
 @query
-def gini(spark, d):
-    return reports.gini(base(spark, d)).select(F.round("gini", 8).alias("gini"))
+def gini(spark, d, cfg: AuditConfig = DEFAULT):
+    return reports.gini(base(spark, d), cfg=cfg).select(F.round("gini", 8).alias("gini"))
 
 
 @query
@@ -674,8 +684,8 @@ def union_new_history(spark, d):
 
 
 @query
-def pseudonymize(spark, d):
-    out = privacy.pseudonymize(raw_ledger(spark, d))
+def pseudonymize(spark, d, cfg: AuditConfig = DEFAULT):
+    out = privacy.pseudonymize(raw_ledger(spark, d), cfg=cfg)
     return out.select("id", "company_id", "user_id", "shop_id", "supplier_id", "reference", "amount")
 
 
@@ -856,13 +866,13 @@ def iforest_scores(spark, d):
 @query
 def lof_scores(spark, d):
     out = density.fit_density(staged(spark, d, "vectors"))[1]
-    return out.select("id", "score_lof", "anomaly_lof")
+    return out.select("id", F.round("score_lof", 5).alias("score_lof"), "anomaly_lof")
 
 
 @query
 def dbscan_scores(spark, d):
     out = density.fit_density(staged(spark, d, "vectors"))[1]
-    return out.select("id", "score_dbscan", "anomaly_dbscan")
+    return out.select("id", F.round("score_dbscan", 5).alias("score_dbscan"), "anomaly_dbscan")
 
 
 @query
@@ -871,6 +881,15 @@ def ensemble_scores(spark, d):
     return pipeline.audit(raw_ledger(spark, d))
 
 
+@query
+def audit_columns(spark, d):
+    """The whole audit, in the columns that the random trees do not enter."""
+    out = pipeline.audit(raw_ledger(spark, d))
+    scores = ["score_rules", "score_lof", "score_dbscan", *ensemble.PATTERN_COLUMNS]
+    flags = ["anomaly_rules", "anomaly_lof", "anomaly_dbscan", "is_fraud_pattern", "rules_triggered"]
+    return out.select("id", "amount", *[F.round(c, 4).alias(c) for c in scores], *flags)
+
+
 @query
 def model_info(spark, d):
     models, _ = pipeline.fit_models(feats(spark, d))
@@ -916,3 +935,22 @@ def latest_batch_top(spark, d):
     batches = standin(spark, d).withColumn("batch_id", F.col("id").substr(-7, 7).cast("long") % 3)
     batches.write.partitionBy("batch_id").parquet(f"{place}/scored")
     return latest_top(spark, place, 50).select("id", "batch_id", "amount", "score_final")
+
+
+# ---------------------------------------------------------------- plans for oversized keys
+
+
+def _with_small_limits(name: str) -> Query:
+    """A query whose limits make every larger user, source or value list an oversized key; the rows stay the same."""
+
+    def run(spark, d):
+        return QUERIES[name](spark, d, AuditConfig(limits=ScaleLimits(group_rows=40, frame_rows=4)))
+
+    return run
+
+
+SLICED = [
+    "iqr_flags", "rolling_7d", "days_since_last", "user_profile_modes", "fraud_splitting", "fraud_duplicates", "gini",
+    "pseudonymize",
+]
+QUERIES.update({f"{name}_sliced": _with_small_limits(name) for name in SLICED})
