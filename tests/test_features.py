@@ -125,6 +125,23 @@ def test_attach_cuts_hot_keys(spark, sliced):
     assert wrong.count() == 0
 
 
+def test_attach_scatters_rows_without_key(spark):
+    rows = spark.range(4000).selectExpr("cast(id AS string) AS id", "CASE WHEN id % 4 > 0 THEN id % 40 END AS k")
+    stats = spark.range(40).selectExpr("id AS k", "id * 2 AS twice")
+    name, wanted = "spark.sql.autoBroadcastJoinThreshold", "-1"
+    before = spark.conf.get(name)
+    spark.conf.set(name, wanted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(rows, stats, ["k"], 100, AuditConfig().limits)
+        got = joined.select("k", "twice", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == 4000 and all(r["twice"] == (None if r["k"] is None else 2 * r["k"]) for r in got)
+    assert len({r["task"] for r in got if r["k"] is None}) > 1
+
+
 def test_quantiles_by_position(spark, sliced):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 300, p=[0.6, 0.3, 0.1]), "v": np.round(rng.normal(0, 10, 300), 1)})
