@@ -12,16 +12,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgersift.config import LEDGER_COLUMNS, TIMESTAMP_COLUMNS
+from ledgersift.session import materialize
 
 OUT, SINGLE, DOUBLE = 0, 1, 2  # outside strings, inside '...', inside "..."
-_NEXT = (re.compile("['\";]"), re.compile(r"['\\]"), re.compile(r'["\\]'))
+# From a state on: all that neither ends a statement nor leaves the line inside a string.
+_SKIP = (
+    re.compile(r"""(?:[^'";]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")*+""", re.S),
+    re.compile(r"(?:[^'\\]++|\\.)*+", re.S),
+    re.compile(r'(?:[^"\\]++|\\.)*+', re.S),
+)
 _COMMENT = re.compile(r"\s*(?:--(?:\s|$)|#)")
+_STRING = r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+\""""
+# A cell without brackets of its own.
+_CELL = re.compile(rf"""(?:[^'"(){{}}\[\],]++|{_STRING})*+""", re.S)
 _TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*+'|"(?:[^"\\]|\\.|"")*+"|[(){}\[\],;]|[^'"(){}\[\],;]++|['"]""", re.S)
 
 
@@ -33,16 +44,18 @@ def scan_line(line: str, state: int) -> tuple[int, list[int]]:
     if state == OUT and _COMMENT.match(line):
         return OUT, []
     at, ends = 0, []
-    while found := _NEXT[state].search(line, at):
-        mark, at = found.group(), found.end()
+    while (at := _SKIP[state].match(line, at).end()) < len(line):
+        mark = line[at]
+        at += 1
         if mark == ";":
-            ends.append(found.start())
-        elif mark == "\\":
-            at += 1
+            ends.append(at - 1)
+        elif state != OUT and mark != "\\":
+            state = OUT
         elif state == OUT:
-            state = SINGLE if mark == "'" else DOUBLE
+            # The string does not end in this line.
+            return (SINGLE if mark == "'" else DOUBLE), ends
         else:
-            state = OUT
+            break
     return state, ends
 
 
@@ -52,29 +65,45 @@ def split_rows(body: str) -> tuple[list[list[str]], list[str]]:
     Cells are trimmed and keep their quotes. Brackets and braces nest to any depth; strings
     may hold anything. What is left open at the end is a stretch of its own.
     """
-    rows, strays, cells, start, depth, last = [], [], [], 0, 0, 0
-    for token in _TOKEN.finditer(body):
-        mark = token.group()
-        if depth == 0:
-            if mark == "(":
-                depth, cells, start, last = 1, [], token.start(), token.end()
-            elif mark.strip(" \t\r\n,;"):
-                strays.append(mark.strip())
-        elif mark in ("(", "{", "["):
-            depth += 1
-        elif mark in (")", "}", "]"):
-            depth -= 1
-            if depth == 0:
-                cells.append(body[last:token.start()].strip())
-                rows.append(cells)
-        elif mark == "," and depth == 1:
-            cells.append(body[last:token.start()].strip())
-            last = token.end()
-    if depth:
-        strays.append(body[start:].strip())
+    rows, strays, at = [], [], 0
+    while at < len(body):
+        if body[at] == "(":
+            cells, end = _tuple(body, at)
+            if end < 0:
+                strays.append(body[at:].strip())
+                break
+            rows.append(cells)
+            at = end
+        else:
+            token = _TOKEN.match(body, at)
+            if token.group().strip(" \t\r\n,;"):
+                strays.append(token.group().strip())
+            at = token.end()
     return rows, strays
 
 
+def _tuple(body: str, start: int) -> tuple[list[str], int]:
+    """(cells, end) of the tuple that opens at ``start``; the end is -1 if it is left open."""
+    cells, at = [], start + 1
+    last = at
+    while (end := _CELL.match(body, at).end()) < len(body):
+        mark, at = body[end], end + 1
+        if mark in "({[":
+            depth = 1
+            while depth:
+                token = _TOKEN.match(body, at)
+                if token is None:
+                    return [], -1
+                depth += (token.group() in ("(", "{", "[")) - (token.group() in (")", "}", "]"))
+                at = token.end()
+        elif mark not in "'\"":
+            cells.append(body[last:end].strip())
+            last = at
+            if mark != ",":
+                return cells, at
+    return [], -1
+
+
 def cell_value(raw: Column) -> Column:
     """A dump cell as text: NULL becomes null, quotes go, escaped quotes and backslashes are undone."""
     text = F.trim(raw)
@@ -109,11 +138,24 @@ def typed_column(name: str, text: Column) -> Column:
 
 
 _BLOCK = "path string, block long"
+PIECE_BYTES = 4 << 20  # text a task turns into Python objects at a time
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose last column, a text, holds about ``PIECE_BYTES`` at most (one row at least)."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + PIECE_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[list]]]:
     """The lines of a task's blocks: ((path, block, other columns), list of lines) in pieces."""
-    for batch in batches:
+    for batch in _bounded(batches):
         columns = [c.to_pylist() for c in batch.columns]
         heads = list(zip(*columns[:-1], strict=True))
         at = 0
@@ -193,7 +235,8 @@ def read_statements(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), value.alias("value")
     )
     known = lines.mapInArrow(_summaries, f"{_BLOCK}, states array<int>, ends array<long>")
-    starts = known.groupBy("path").applyInPandas(_starts, f"{_BLOCK}, state int, before long")
+    # Written once: else every reading of the statements would first scan the whole dump again.
+    starts = materialize(known.groupBy("path").applyInPandas(_starts, f"{_BLOCK}, state int, before long"))
     # One row per block of a file: some 100 bytes for each 128 MB read.
     placed = lines.join(F.broadcast(starts), ["path", "block"]).select("path", "block", "state", "before", "value")
     pieces = placed.mapInArrow(_pieces, "path string, number long, block long, whole boolean, text string")
@@ -222,7 +265,7 @@ def read_dump(
     columns = [c.strip().strip("`") for c in first["names"].split(",") if c.strip()]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             for body in batch.column(0).to_pylist():
                 rows, strays = split_rows(body)
                 cells = rows + [None] * len(strays)
@@ -276,18 +319,18 @@ def write_dump(
     names = ", ".join(f"`{c}`" for c in columns)
     prefix = f"INSERT INTO `{table}` ({names}) VALUES\n"
 
-    def statements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
-        for frame in batches:
-            held += frame["row"].tolist()
+        for piece in _bounded(batches):
+            held += piece.column(0).to_pylist()
             full = len(held) - len(held) % batch
             made = [prefix + ",\n".join(held[i : i + batch]) + ";" for i in range(0, full, batch)]
             held = held[full:]
-            yield pd.DataFrame({"value": made}, dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
         if held:
-            yield pd.DataFrame({"value": [prefix + ",\n".join(held) + ";"]}, dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array([prefix + ",\n".join(held) + ";"], pa.string())], ["value"])
 
-    made = rows.mapInPandas(statements, "value string")
+    made = rows.mapInArrow(statements, "value string")
     if encoding != "UTF-8":
         # The text sink writes the bytes it is given.
         made = made.select(F.encode("value", encoding).cast("string").alias("value"))

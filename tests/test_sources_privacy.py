@@ -1,11 +1,13 @@
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import frame, ledger_row
 from ledgersift.operators import anonymize as privacy
+from ledgersift.sources import dump
 from ledgersift.sources.dump import read_dump, scan_line, split_rows, write_dump
 from ledgersift.sources.files import read_csv_ledger, write_report
 
@@ -212,3 +214,24 @@ def test_dump_in_another_encoding(spark, tmp_path):
     write_dump(frame(spark, rows), str(tmp_path / "d"), encoding="ISO-8859-1")
     back, rejected = read_dump(spark, str(tmp_path / "d"), encoding="ISO-8859-1")
     assert [r.metadata for r in back.collect()] == [rows[0]["metadata"]] and rejected.count() == 0
+
+
+def test_dump_pieces_are_bounded_and_blocks_known_once(spark, tmp_path):
+    text = ["x" * (3 << 20)] * 4 + [None, "y", "z" * (9 << 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text))), pa.array(text)], ["n", "text"])
+    cut = list(dump._bounded(iter([batch])))
+    assert [t for piece in cut for t in piece.column(1).to_pylist()] == text
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= dump.PIECE_BYTES for p in cut)
+    # A reading after the first one finds the blocks' states written.
+    path = str(tmp_path / "dump")
+    spark.createDataFrame([("INSERT INTO `expenses` (`id`) VALUES ('a;\\'b'), ('c');",)], "value string").write.text(path)
+    rows = dump.read_dump(spark, path)[0]
+    assert sorted(r["id"] for r in rows.collect()) == ["a;'b", "c"]
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_and_tuples_with_open_strings():
+    assert dump.scan_line("a';'\\", dump.OUT) == (dump.OUT, [])
+    assert dump.scan_line("'a\\", dump.OUT) == (dump.SINGLE, [])
+    assert dump.scan_line("b'; \"c", dump.SINGLE) == (dump.DOUBLE, [2])
+    assert dump.split_rows("(1, {'a': [\")\"]}), ('x") == ([["1", "{'a': [\")\"]}"]], ["('x"])
