@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA, frame, ledger_row
-from ledgersift.config import DAY_US, HOUR_US, MATRIX_COLUMNS, AuditConfig
+from ledgersift.config import DAY_US, HOUR_US, MATRIX_COLUMNS, AuditConfig, ScaleLimits
 from ledgersift.functions.temporal import micros
-from ledgersift.operators import features, matrix, quantiles
+from ledgersift.operators import features, matrix, patterns, quantiles
 from ledgersift.operators.clean import clean, normalize
 from ledgersift.operators.rolling import lookback
 from ledgersift.operators.skew import attach, number_rows, previous_value
@@ -34,6 +34,27 @@ def test_sliced_plans_give_the_same_features(base, sliced):
     same(features.enrich(base), features.enrich(base, sliced))
 
 
+def test_tasks_grow_with_the_rows(base):
+    cfg = AuditConfig(limits=ScaleLimits(task_rows=500))
+    same(features.enrich(base), features.enrich(base, cfg))
+    for step in (features.attach_users, features.add_supplier):
+        sizes = [r["count"] for r in step(base, cfg).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == base.count() and max(sizes) <= 4 * 500
+
+
+def test_hits_beyond_a_broadcast_join_in_more_tasks(base):
+    cfg = AuditConfig(limits=ScaleLimits(task_rows=500, broadcast_rows=0))
+    judged = patterns.add_patterns(base, cfg)
+    same(patterns.add_patterns(base), judged)
+    assert max(r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect()) <= 2 * 500
+
+
+def test_few_keys_are_not_dealt(spark, base):
+    stats = base.groupBy("expense_type").agg(F.count(F.lit(1)).alias("n"))
+    plain = attach(base, stats, ["expense_type"], 10**5, ScaleLimits(task_rows=500), dealt=True)
+    assert "REPARTITION" not in plain._jdf.queryExecution().toString()
+
+
 def test_partitioning_does_not_matter(base):
     columns = ["id", "user_rolling_mean_7d", "days_since_last_tx", "tx_daily_count", "user_typical_source"]
     once = features.enrich(base.repartition(1)).select(*columns)
