@@ -6,6 +6,7 @@ import pytest
 
 from conftest import by_id
 from ledgersift.config import DEFAULT
+from ledgersift.session import open_files
 from ledgersift.streaming.behavior import latest_alike, sliding_moments, write_behavior
 
 ROW = "id string, user_id string, amount double, created_at timestamp_ntz"
@@ -95,3 +96,16 @@ def test_spearman(spark, sliced):
             assert rho is None if "c" in pair else rho == pytest.approx(want[pair], abs=1e-12), pair
     empty = spearman(df.where("a > 1e9"), ["a", "b"]).collect()
     assert len(empty) == 4 and all(r.rho is None for r in empty)
+
+
+def test_batches_are_written_without_a_sort(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, rows = spark.conf.get(name), spark.range(30).selectExpr("id", "if(id = 29, null, id % 3) AS batch_id")
+    with open_files(spark, 8):
+        assert spark.conf.get(name) == "8"
+        rows.write.partitionBy("batch_id").parquet(str(tmp_path / "kept"))
+    with pytest.raises(ValueError), open_files(spark, 8):
+        raise ValueError
+    assert spark.conf.get(name) == before
+    back = spark.read.parquet(str(tmp_path / "kept"))
+    assert sorted((r.id, r.batch_id) for r in back.collect()) == [(i, None if i == 29 else i % 3) for i in range(30)]
