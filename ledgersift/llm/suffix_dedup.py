@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersift.llm.rolling import mixed, prefix_sums, sliding_min, span_hash, window_hash
+from ledgersift.llm.rolling import mixed, prefix_sums, sliding_min, span_hash, span_hashes, window_hash
 
 WIDTH = 50
 TRIGGER = 24
@@ -39,45 +39,88 @@ ANSWER = "kind int, chunk long, keys binary, docs binary"
 
 
 class Parsed:
-    """The documents of one batch as a byte array, with hashes of their strings."""
+    """The documents of one batch as a byte array, with hashes of their strings.
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int, trigger: int, phrase: int) -> None:
-        self.ids, self.texts = ids, texts
+    ``words_only`` leaves out what the strings need. Only the sums and the minima grow with every byte;
+    each is given up by the step that needs it last.
+    """
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], width: int, trigger: int, phrase: int, words_only: bool) -> None:
+        self.ids, self.texts, self.width = ids, texts, width
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.sums = prefix_sums(data)
-        n = max(0, len(data) - width + 1)
-        owner = np.repeat(np.arange(len(texts)), self.sizes)
-        # Strings of the wanted width that stay inside their document.
-        self.at = np.flatnonzero(np.arange(n) + width <= self.offsets[owner[:n] + 1]) if n else np.zeros(0, np.int64)
-        self.owner = owner[self.at]
-        self.doc = ids[self.owner]
         grams = window_hash(self.sums, trigger)
-        self.minimum = sliding_min(grams, width - trigger + 1)[self.at] if n else np.zeros(0, np.uint64)
         cut = np.zeros(len(data) + 1, bool)
         cut[self.offsets[:-1]] = True
         cut[: len(grams)] |= (grams % np.uint64(phrase)) == 0
-        self.phrase_of = (np.cumsum(cut[:-1]) - 1)[self.at] if n else np.zeros(0, np.int64)
-        starts = np.flatnonzero(cut[:-1])
-        ends = np.append(starts[1:], len(data))
-        last = self.offsets[owner[starts] + 1] if len(starts) else starts
-        self.words = span_hash(self.sums, starts, np.minimum(ends + width - 1, last), data)
-        self.word_doc = ids[owner[starts]] if len(starts) else np.zeros(0, np.int64)
-        self.width = width
-
-    def strings(self, which: np.ndarray) -> np.ndarray:
-        """Hashes of the strings at the given places (indexes into ``at``)."""
-        return mixed(window_hash(self.sums, self.width)[self.at[which]] ^ np.uint64(0x5851F42D4C957F2D))
+        self.starts = np.flatnonzero(cut[:-1])
+        ends = np.append(self.starts[1:], len(data))
+        owner = np.searchsorted(self.offsets, self.starts, side="right") - 1
+        self.words = span_hash(self.sums, self.starts, np.minimum(ends + width - 1, self.offsets[owner + 1]), data)
+        self.word_doc = ids[owner]
+        n = max(0, len(data) - width + 1)
+        self.minimum = sliding_min(grams, width - trigger + 1) if n and not words_only else np.zeros(0, np.uint64)
+        if words_only:
+            self.sums = None
+
+    def begin(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Settle the words, given the smallest document of each: (minima, documents) of the runs of open strings.
+
+        Kept are the ``open`` places, whose dictionary word no earlier document has, in runs of one minimum and one document.
+        """
+        self.settled = np.repeat(first < self.word_doc, np.diff(np.append(self.starts, self.offsets[-1])))
+        for low, high in zip(self.offsets[:-1], self.offsets[1:]):
+            self.settled[max(low, high - self.width + 1):high] = True
+        self.open = np.flatnonzero(~self.settled).astype(np.int32 if len(self.settled) < 2**31 else np.int64)
+        k = self.minimum[self.open]
+        self.minimum = None
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = k[1:] != k[:-1]
+        begun = np.searchsorted(self.open, self.offsets[:-1])
+        fresh[begun[begun < len(k)]] = True
+        self.runs = np.flatnonzero(fresh)
+        self.run_keys = k[self.runs]
+        return self.run_keys, self.documents(self.open[self.runs])
+
+    def choose(self, shared: np.ndarray) -> np.ndarray:
+        """Keep the open strings of the runs that are ``shared``; their hashes."""
+        self.open = self.open[np.repeat(shared, np.diff(np.append(self.runs, len(self.open))))]
+        code = mixed(span_hashes(self.sums, self.open, self.width) ^ np.uint64(0x5851F42D4C957F2D))
+        self.sums = self.runs = self.run_keys = None
+        return code
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """The documents of ascending places."""
+        cuts = np.searchsorted(places, self.offsets)
+        return np.repeat(self.ids, np.diff(cuts))
+
+    def gone(self, repeated: np.ndarray) -> np.ndarray:
+        """The bytes that strings of earlier documents cover, given which of the chosen strings are repeated."""
+        for low, high in zip(self.offsets[:-1], self.offsets[1:]):
+            self.settled[max(low, high - self.width + 1):high] = False
+        self.settled[self.open[repeated]] = True
+        at = np.flatnonzero(self.settled)
+        cover = np.zeros(self.offsets[-1] + 1, np.int64)
+        cover[at] += 1
+        cover[at + self.width] -= 1
+        return np.cumsum(cover)[:-1] > 0
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that brings equal keys together, ascending; where each key's group begins in it)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(fresh)
 
 
 def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the smallest document of each."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[1:] != keys[:-1]
-    return keys[fresh], docs[fresh]
+    order, starts = _grouped(keys)
+    return keys[order[starts]], np.minimum.reduceat(docs[order], starts) if len(keys) else docs
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
@@ -131,8 +174,8 @@ class _Chunk:
         ids = texts.column("doc_id").to_numpy()
         raw = texts.column("text")
         order = np.argsort(ids, kind="stable")
-        self.ids, self.options = ids[order], options
-        self.texts = [(raw[int(i)].as_py() or "").encode() for i in order]
+        ids = ids[order]
+        encoded = [(raw[int(i)].as_py() or "").encode() for i in order]
         self.answers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if answers is not None:
             kinds = answers.column("kind").to_pylist()
@@ -144,85 +187,65 @@ class _Chunk:
                 else:
                     docs = np.concatenate([unpack_ids(answers.column("docs")[i].as_py()) for i in rows])
                 self.answers[kind] = _smallest(keys, docs)
-        self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def batches(self):
+        self.batches: list[Parsed] = []
         start, size = 0, 0
-        for i, text in enumerate(self.texts):
+        for i, text in enumerate(encoded):
             size += len(text)
-            if size >= BATCH_BYTES or i + 1 == len(self.texts):
-                yield Parsed(self.ids[start:i + 1], self.texts[start:i + 1], **self.options)
+            if size >= BATCH_BYTES or i + 1 == len(encoded):
+                self.batches.append(Parsed(ids[start:i + 1], encoded[start:i + 1], **options, words_only=answers is None))
                 start, size = i + 1, 0
 
-    def first_doc(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """The smallest document that has each key, in this chunk or elsewhere."""
+    def _told(self, kind: int, keys: np.ndarray, default: int) -> np.ndarray:
+        """What the buckets told of each key."""
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        here = _looked_up(*self.own.get(kind, none), keys, FAR)
-        return np.minimum(here, _looked_up(*self.answers.get(kind, none), keys, FAR))
+        return _looked_up(*self.answers.get(kind, none), keys, default)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
-        if WORDS not in self.own:
-            parts = [(p.words, p.word_doc) for p in self.batches()]
-            self.own[WORDS] = _smallest(*(np.concatenate(x) for x in zip(*parts)))
-        return self.own[WORDS]
-
-    def open_strings(self, p: Parsed) -> np.ndarray:
-        """Places in ``p.at`` whose dictionary word no earlier document has."""
-        self.words()
-        first = self.first_doc(WORDS, p.words)
-        return np.flatnonzero((first >= p.word_doc)[p.phrase_of])
+        """(keys, smallest document of this chunk) of the dictionary words."""
+        return _smallest(np.concatenate([p.words for p in self.batches]), np.concatenate([p.word_doc for p in self.batches]))
 
     def minima(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, 1 if two documents of this chunk have it) of the open strings."""
-        if MINIMA not in self.own:
-            keys, docs = [], []
-            for p in self.batches():
-                open_ = self.open_strings(p)
-                k, d = p.minimum[open_], p.doc[open_]
-                fresh = np.ones(len(k), bool)
-                fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                keys.append(k[fresh])
-                docs.append(d[fresh])
-            k, d = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = k[1:] != k[:-1]
-            edges = np.append(np.flatnonzero(fresh), len(k))
-            several = (d[edges[:-1]] != d[edges[1:] - 1]).astype(np.int64) if len(k) else np.zeros(0, np.int64)
-            self.own[MINIMA] = k[fresh], several
-        return self.own[MINIMA]
-
-    def candidates(self, p: Parsed) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the open strings whose minimum occurs in another document too."""
-        open_ = self.open_strings(p)
+        own, found = self.words(), []
+        for p in self.batches:
+            first = np.minimum(_looked_up(*own, p.words, FAR), self._told(WORDS, p.words, FAR))
+            found.append(p.begin(first))
+        k, d = (np.concatenate(x) for x in zip(*found))
+        order, starts = _grouped(k)
+        k, d = k[order], d[order]
+        if not len(k):
+            return k, np.zeros(0, np.int64)
+        return k[starts], (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)).astype(np.int64)
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, smallest document of this chunk, whether an earlier document repeats each) of the open strings whose minimum
+        occurs in another document too; the last in the order of the batches and places.
+        """
         keys, several = self.minima()
-        asked = p.minimum[open_]
-        shared = _looked_up(keys, several, asked, 0) > 0
-        if MINIMA in self.answers:
-            shared |= _looked_up(*self.answers[MINIMA], asked, 0) > 0
-        places = open_[shared]
-        return places, p.strings(places)
-
-    def strings(self) -> tuple[np.ndarray, np.ndarray]:
-        if STRINGS not in self.own:
-            keys, docs = [], []
-            for p in self.batches():
-                places, code = self.candidates(p)
-                k, d = _smallest(code, p.doc[places])
-                keys.append(k)
-                docs.append(d)
-            self.own[STRINGS] = _smallest(np.concatenate(keys), np.concatenate(docs))
-        return self.own[STRINGS]
-
-    def repeated(self, p: Parsed) -> np.ndarray:
-        """True for each place in ``p.at`` whose string an earlier document has."""
-        self.strings()
-        hit = np.ones(len(p.at), bool)
-        hit[self.open_strings(p)] = False
-        places, code = self.candidates(p)
-        hit[places] = self.first_doc(STRINGS, code) < p.doc[places]
-        return hit
+        codes, docs = [], []
+        for p in self.batches:
+            shared = _looked_up(keys, several, p.run_keys, 0) > 0
+            shared |= self._told(MINIMA, p.run_keys, 0) > 0
+            codes.append(p.choose(shared))
+            docs.append(p.documents(p.open))
+        k, d = np.concatenate(codes), np.concatenate(docs)
+        codes = docs = None
+        order, starts = _grouped(k)
+        if not len(k):
+            return k, d, np.zeros(0, bool)
+        k, sorted_docs = k[order][starts], d[order]
+        low = np.minimum.reduceat(sorted_docs, starts)
+        first = np.minimum(low, self._told(STRINGS, k, FAR))
+        repeated = np.empty(len(d), bool)
+        repeated[order] = np.repeat(first, np.diff(np.append(starts, len(d)))) < sorted_docs
+        return k, low, repeated
+
+    def cleaned(self):
+        """The batches with the bytes that go."""
+        repeated, at = self.strings()[2], 0
+        for p in self.batches:
+            yield p, p.gone(repeated[at:at + len(p.open)])
+            at += len(p.open)
 
 
 def _send(kind: int, chunk: int, keys: np.ndarray, docs: np.ndarray | None, buckets: int) -> pa.Table:
@@ -271,19 +294,16 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
-def _cleaned(p: Parsed, repeated: np.ndarray) -> dict[str, list]:
+def _cleaned(p: Parsed, gone: np.ndarray) -> dict[str, list]:
     """Per document of a batch: sizes, removed bytes and runs, and the bytes that stay."""
-    cover = np.zeros(p.offsets[-1] + 1, np.int64)
-    np.add.at(cover, p.at[repeated], 1)
-    np.add.at(cover, p.at[repeated] + p.width, -1)
-    gone = np.cumsum(cover)[:-1] > 0
     data = np.frombuffer(b"".join(p.texts), np.uint8)
     out: dict[str, list] = {"doc_id": p.ids.tolist(), "n_bytes": p.sizes.tolist(), "n_removed": [], "n_spans": [], "kept": []}
-    for low, high in zip(p.offsets[:-1], p.offsets[1:]):
+    for low, high, text in zip(p.offsets[:-1], p.offsets[1:], p.texts):
         mask = gone[low:high]
-        out["n_removed"].append(int(mask.sum()))
-        out["n_spans"].append(int((mask[1:] & ~mask[:-1]).sum() + (len(mask) > 0 and bool(mask[0]))))
-        out["kept"].append(data[low:high][~mask].tobytes())
+        removed = int(np.count_nonzero(mask))
+        out["n_removed"].append(removed)
+        out["n_spans"].append(int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(mask[0])) if removed else 0)
+        out["kept"].append(data[low:high][~mask].tobytes() if removed else text)
     return out
 
 
@@ -317,14 +337,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest_only: bool = Fals
         return _send(MINIMA, table.column("chunk")[0].as_py(), keys, None, chunks)
 
     def third_pass(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, found = _Chunk(table, answers, options).strings()
+        keys, found, _ = _Chunk(table, answers, options).strings()
         return _send(STRINGS, table.column("chunk")[0].as_py(), keys, found, chunks)
 
     def last_pass(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(table, answers, options)
         parts: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
-        for p in chunk.batches():
-            for name, values in _cleaned(p, chunk.repeated(p)).items():
+        for p, gone in chunk.cleaned():
+            for name, values in _cleaned(p, gone).items():
                 parts[name] += [hashlib.sha256(v).hexdigest() for v in values] if digest_only and name == "kept" else values
         types = {"kept": pa.string() if digest_only else pa.binary()}
         return pa.table({n: pa.array(v, types.get(n, pa.int64())) for n, v in parts.items()})

@@ -96,3 +96,36 @@ def test_a_type_cannot_forge_a_turn(spark):
     ).cast(f"array<{chat.PART}>"))
     back = chat.read_back(chat.format_conversations(turns)).collect()[0]
     assert len(back["turns"]) == 1 and back["turns"][0]["role"] == "user"
+
+
+def test_a_chunk_is_parsed_once(monkeypatch):
+    """Each pass parses every batch of its chunk once, and the bytes that go are those of plain search."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    phrases = [" ".join(f"w{draw.randrange(300)}" for _ in range(20)) for _ in range(40)]
+    texts = [" ".join(draw.choice(phrases)[draw.randrange(9):] for _ in range(draw.randrange(9))) for _ in range(60)]
+    texts[7:10], ids = ["", None, "short"], [draw.randrange(50) for _ in texts]
+    made, plain = [], suffix_dedup.Parsed.__init__
+    monkeypatch.setattr(suffix_dedup.Parsed, "__init__", lambda self, *a, **k: (made.append(1), plain(self, *a, **k))[1])
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    answers = pa.table({"kind": [], "chunk": [], "keys": [], "docs": []}, schema=pa.schema([
+        ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+    chunk = suffix_dedup._Chunk(table, answers, {"width": 50, "trigger": 24, "phrase": 32})
+    got = [(int(i), int(n)) for p, gone in chunk.cleaned()
+           for i, n in zip(p.ids, np.add.reduceat(np.append(gone, 0), p.offsets[:-1]) * (p.sizes > 0), strict=True)]
+    assert len(made) == len(chunk.batches) > 5
+
+    first = {}
+    for i, text in zip(ids, texts, strict=True):
+        for at in range(len(text or "") - 49):
+            first[text[at:at + 50]] = min(i, first.get(text[at:at + 50], i))
+    wanted = []
+    for i, text in zip(ids, texts, strict=True):
+        hit = {b for at in range(len(text or "") - 49) if first[text[at:at + 50]] < i for b in range(at, at + 50)}
+        wanted.append((i, len(hit)))
+    assert sorted(got) == sorted(wanted) and sum(n for _, n in got) > 0
