@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgersift.config import ScaleLimits
 from ledgersift.operators.skew import (
     SLICE,
-
     has_all,
     largest_group,
+    mean_group,
     range_slices,
     spread_nulls,
 )
@@ -54,33 +54,38 @@ def lookback(
     inclusive. Otherwise it is every row in ``(_us - length, _us]``. Rows with a
     null key get nulls.
     """
-    cell = F.floor(F.col("_us") / F.lit(length_us))
-    densest = largest_group(df.where(has_all(keys)), [*keys, cell])
-    widest = largest_group(df, keys)
-    if densest <= limits.frame_rows and widest <= limits.group_rows:
+    if largest_group(df, keys) <= limits.group_rows:
         return _by_frames(df, keys, value, length_us, prior_only, limits)
     sums = _by_cells(df, keys, value, length_us, prior_only, limits)
     return df.join(sums, "id", "left")
 
 
+def _sparse(df: DataFrame, keys: list[str], length_us: int, limits: ScaleLimits) -> bool:
+    """Whether sliding frames of that length are short, the longest and on average."""
+    group = [*keys, F.floor(F.col("_us") / F.lit(length_us))]
+    keyed = df.where(has_all(keys))
+    return largest_group(keyed, group) <= limits.frame_rows and mean_group(keyed, group) <= limits.frame_mean
+
+
 def _by_frames(df, keys, value, length_us, prior_only, limits) -> DataFrame:
     laid = df.withColumn(SLICE, spread_nulls(keys, limits))
     part = Window.partitionBy(*keys, SLICE)
+    # Earlier timestamps by range, equal timestamps by position.
+    first, last = (-length_us, -1) if prior_only else (1 - length_us, 0)
+    if _sparse(df, keys, length_us, limits):
+        laid = laid.withColumn("_past", _moments(value, part.orderBy("_us").rangeBetween(first, last)))
+    else:
+        laid = _past_by_halves(laid, keys, value, length_us, prior_only)
     if prior_only:
-        # Earlier timestamps by range, equal timestamps by position.
-        past = _moments(value, part.orderBy("_us").rangeBetween(-length_us, -1))
         peers = _moments(
             value,
             Window.partitionBy(*keys, SLICE, "_us")
             .orderBy("id")
             .rowsBetween(Window.unboundedPreceding, -1),
         )
-        laid = laid.withColumns({"_past": past, "_peers": peers})
+        laid = laid.withColumn("_peers", peers)
         total = _merge(F.col("_past"), F.col("_peers"))
     else:
-        laid = laid.withColumn(
-            "_past", _moments(value, part.orderBy("_us").rangeBetween(1 - length_us, 0))
-        )
         total = F.col("_past")
     return (
         laid.withColumn("_sum", F.when(has_all(keys), total))
@@ -89,6 +94,40 @@ def _by_frames(df, keys, value, length_us, prior_only, limits) -> DataFrame:
     )
 
 
+def _past_by_halves(laid: DataFrame, keys: list[str], value: str, length_us: int, prior_only: bool) -> DataFrame:
+    """Add ``_past``, the moments of the range that a sliding frame would cover, from cumulative frames.
+
+    Time is cut into cells as long as the window, whose range is then a head of its row's cell and a
+    tail of the cell before. A probe stands where the range begins and finds the tail; heads and tails
+    depend on the time alone and meet among the rows of one time. All windows keep to ``keys`` and
+    slice, so rows laid out by them stay where they are.
+    """
+    fixed = [*keys, SLICE]
+    cell = F.floor(F.col("_us") / F.lit(length_us))
+
+    def entry(is_row: bool, at: Column, within: Column, amount: Column) -> Column:
+        return F.struct(
+            F.lit(is_row).alias("_is_row"), F.col("_us").alias("_time"), at.alias("_at"),
+            within.alias("_cell"), amount.cast("double").alias("_v"),
+        )
+
+    own = entry(True, F.col("_us"), cell, F.col(value))
+    probe = entry(False, F.col("_us") - F.lit(length_us), cell - 1, F.lit(None))
+    # Without key or time there is nothing to find.
+    entries = F.when(has_all([*keys, "_us"]), F.array(own, probe)).otherwise(F.array(own))
+    # Probes carry no row, and column by column, so that unused columns are still left out.
+    both = laid.select("*", F.inline(entries)).withColumns(
+        {c: F.when(F.col("_is_row"), F.col(c)) for c in laid.columns if c not in fixed}
+    )
+    part = Window.partitionBy(*fixed, "_cell")
+    upto, beyond = (-1, 0) if prior_only else (0, -1)
+    head = _moments("_v", part.orderBy("_at").rangeBetween(Window.unboundedPreceding, upto))
+    tail = _moments("_v", part.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, beyond))
+    found = F.max(F.when(~F.col("_is_row"), F.col("_tail"))).over(Window.partitionBy(*fixed, "_time"))
+    whole = both.withColumns({"_head": head, "_tail": tail}).withColumn("_tail", found).where("_is_row")
+    return whole.select(*laid.columns, _merge(F.col("_head"), F.col("_tail")).alias("_past"))
+
+
 def _by_cells(df, keys, value, length_us, prior_only, limits) -> DataFrame:
     """The same sums from cumulative frames only.
 

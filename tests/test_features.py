@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TESTDATA, frame, ledger_row
+from conftest import TESTDATA, by_id, frame, ledger_row
 from ledgersift.config import DAY_US, HOUR_US, MATRIX_COLUMNS, AuditConfig, ScaleLimits
 from ledgersift.functions.temporal import micros
 from ledgersift.operators import features, matrix, patterns, quantiles
@@ -124,6 +124,31 @@ def test_lookback_against_brute_force(spark, sliced, prior_only, kind):
         assert r._m2 == pytest.approx(m2, rel=1e-6, abs=1e-3)
 
 
+@pytest.mark.parametrize("prior_only", [False, True])
+def test_dense_lookback_slides_no_frame(spark, prior_only):
+    rng = np.random.default_rng(5)
+    n = 1500
+    pdf = pd.DataFrame({
+        "id": [f"R{i:04d}" for i in range(n)], "k": np.where(np.arange(n) < 1300, "dense", "other"),
+        "_us": rng.integers(0, 40 * HOUR_US, n) // 5_000_000 * 5_000_000, "v": rng.normal(1000, 300, n), "note": "x",
+    })
+    odd = [("N0", None, 7, 1.0, "x"), ("N1", "dense", None, 2.0, None), ("N2", None, None, 3.0, "x"), ("N3", "other", 9 * HOUR_US, None, None)]
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame(odd, "id string, k string, _us long, v double, note string"))
+    out = lookback(df, ["k"], "v", 10 * HOUR_US, prior_only, ScaleLimits())
+    # Some 300 rows lie in a window: no frame that is summed anew for each row.
+    assert f"RangeFrame, -{10 * HOUR_US - (not prior_only)}" not in out._jdf.queryExecution().toString()
+    got, want = by_id(out), brute_lookback(pdf, 10 * HOUR_US, prior_only)
+    assert set(got) == {*pdf["id"], "N0", "N1", "N2", "N3"} and len(got) == out.count()
+    assert out.columns[:5] == df.columns and got["N0"].note == "x" and got["N0"]._n is None and got["N2"]._n is None
+    for i, (cnt, s, m2) in want.items():
+        assert got[i]._n == cnt
+        assert got[i]._s == pytest.approx(s, rel=1e-9, abs=1e-6)
+        assert got[i]._m2 == pytest.approx(m2, rel=1e-6, abs=1e-3)
+    slid = by_id(lookback(df, ["k"], "v", 10 * HOUR_US, prior_only, ScaleLimits(frame_mean=n)))
+    for i in ("N0", "N1", "N2", "N3"):
+        assert got[i] == pytest.approx(slid[i]) if i == "N3" else got[i] == slid[i]
+
+
 def test_previous_value_with_a_hot_key(spark, sliced):
     pdf = pd.DataFrame({"id": [f"R{i:04d}" for i in range(300)], "k": ["hot"] * 200 + list("ab") * 50,
                         "t": np.random.default_rng(1).permutation(300)})
